@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import quality_gam, simhash_gray
+from confluo.llm import quality_gam, simhash_gray, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,13 @@ def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wu_manber.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op4_simhash_gray)}
+    return {f.__name__: f for f in (op1_quality_gam, op3_wu_manber, op4_simhash_gray)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_wu_manber": wu_manber.ORACLE}
