@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import quality_gam, simhash_gray, wu_manber
+from confluo.llm import pack_sos, quality_gam, simhash_gray, sstable, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,16 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.build_shards(_table(spark, sf_dir, "documents"))
+
+
+def op7_pack_sos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sos.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op3_wu_manber, op4_simhash_gray)}
+    return {f.__name__: f for f in (op1_quality_gam, op3_wu_manber, op4_simhash_gray, op5_sstable, op7_pack_sos)}
 
 
 def oracle_sql() -> dict[str, str]:
