@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import pack_sos, quality_gam, secret_guess, simhash_gray, sstable, wu_manber
+from confluo.llm import pack_sos, quality_gam, secret_guess, simhash_gray, sstable, toxicity_ordinal, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op2_secret_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_guess.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_ordinal.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_secret_guess, op3_wu_manber, op4_simhash_gray, op5_sstable, op7_pack_sos)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_secret_guess, op3_wu_manber, op4_simhash_gray, op5_sstable, op6_toxicity_ordinal, op7_pack_sos)}
 
 
 def oracle_sql() -> dict[str, str]:
