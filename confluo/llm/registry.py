@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import pack_sos, quality_gam, secret_guess, simhash_gray, sstable, toxicity_ordinal, wu_manber
+from confluo.llm import line_rules, pack_sos, quality_gam, secret_guess, simhash_gray, sstable, toxicity_ordinal, url_rules, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,17 @@ def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_ordinal.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_lines(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_secret_guess, op3_wu_manber, op4_simhash_gray, op5_sstable, op6_toxicity_ordinal, op7_pack_sos)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_secret_guess, op3_wu_manber, op4_simhash_gray, op5_sstable, op6_toxicity_ordinal, op7_pack_sos, op8_url_rules, op9_line_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_wu_manber": wu_manber.ORACLE}
+    return {"op3_wu_manber": wu_manber.ORACLE, "op8_url_rules": url_rules.oracle(), "op9_line_rules": line_rules.ORACLE}
