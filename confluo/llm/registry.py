@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import line_rules, pack_sos, quality_gam, secret_guess, simhash_gray, sstable, toxicity_ordinal, url_rules, wu_manber
+from confluo.llm import host_suffix, line_rules, pack_sos, quality_gam, secret_guess, simhash_gray, sstable, toxicity_ordinal, url_rules, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(_table(spark, sf_dir, "documents"))
 
 
+def op10_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_suffix.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_secret_guess, op3_wu_manber, op4_simhash_gray, op5_sstable, op6_toxicity_ordinal, op7_pack_sos, op8_url_rules, op9_line_rules)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_secret_guess, op3_wu_manber, op4_simhash_gray, op5_sstable, op6_toxicity_ordinal, op7_pack_sos, op8_url_rules, op9_line_rules, op10_host_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
