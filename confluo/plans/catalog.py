@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from confluo.plans import cleaning, estimates, joins, networks, panels, relational, text  # noqa: F401  (they register their queries)
+from confluo.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "upstream_bucket_assembly"
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return QUERIES[FLAGSHIP](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
