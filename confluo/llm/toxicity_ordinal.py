@@ -25,9 +25,9 @@ BITS = 20
 GRADES = 3
 PREFIXES = (6, 8)
 #: Features seen in fewer labelled texts than this have no weight.
-LEAST_TEXTS = 3
-#: Nor have features that, by themselves, say less about the grade than this many standard deviations.
-LEAST_SIGNAL = 3.0
+LEAST_TEXTS = 2
+#: Nor have features that, by themselves, don't raise the grade by this many standard deviations. So harmless words don't make up for others.
+LEAST_SIGNAL = 2.5
 
 
 def _occurrences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def _lbfgs(f, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
     return x
 
 
-def fit_ordinal(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, *, ridge: float = 1.0, rounds: int = 200) -> OrdinalModel:
+def fit_ordinal(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, *, ridge: float = 0.3, rounds: int = 200) -> OrdinalModel:
     """Least penalised loss over weights and thresholds. Features are screened first by their gradient at weight 0.
 
     The thresholds stay ordered, as it is their gaps' logarithms that are fitted. With no rows, or one grade only,
@@ -139,7 +139,7 @@ def fit_ordinal(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, *, ridge
 
     a, b = around(OrdinalModel(weights, theta), np.zeros(n))
     pull, texts = a + b - 1, np.bincount(bucket, minlength=1 << BITS)
-    signal = np.abs(np.bincount(bucket, pull[doc], 1 << BITS)) / (np.sqrt(np.maximum(texts, 1)) * pull.std())
+    signal = -np.bincount(bucket, pull[doc], 1 << BITS) / (np.sqrt(np.maximum(texts, 1)) * pull.std())
     used = np.flatnonzero((texts >= LEAST_TEXTS) & (signal >= LEAST_SIGNAL))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 12_000) -> OrdinalMo
     return fit_ordinal(doc, bucket, grades_of(y, doc, bucket, words))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, bound: int = 12_000, threshold: float = 0.25) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, bound: int = 12_000, threshold: float = 0.4) -> DataFrame:
     """``doc_id``, ``severity`` (expected grade), ``grade`` (the most that is likelier than not) and ``toxic`` of every document.
 
     ``toxic`` holds where P(grade > 0) is at least ``threshold``. Each row is scored by itself: repeated rows give

@@ -42,7 +42,7 @@ def test_toxicity_held_out(labelled):
     train, test = labelled.iloc[:3000], labelled.iloc[3000:]
     doc, bucket, words = tox.sparse_features(pa.array(train.text))
     model = tox.fit_ordinal(doc, bucket, tox.grades_of(train.toxic.to_numpy(), doc, bucket, words))
-    p = model.exceed(model.sums(pa.array(test.text)))[:, 0] >= 0.25
+    p = model.exceed(model.sums(pa.array(test.text)))[:, 0] >= 0.4
     toxic = test.toxic.to_numpy() == 1
     assert p[toxic].mean() > 0.8 and p[~toxic].mean() < 0.01
 
