@@ -148,7 +148,7 @@ def test_guards(spark):
 
 
 def test_panels(spark):
-    df = spark.createDataFrame([("a", 1, 1.0, 1.0), ("a", 2, 1.0, 1.0), ("b", 1, 1.0, None), ("b", 2, 1.0, 1.0), ("c", 1, None, 1.0), ("c", 2, 1.0, float("nan"))], "u string, t int, x double, y double")
+    df = spark.createDataFrame([("a", 1, 1.0, 1.0), ("a", 2, 1.0, 1.0), ("b", 1, 1.0, None), ("b", 2, 1.0, 1.0), ("c", 1, None, None), ("c", 2, 1.0, float("nan"))], "u string, t int, x double, y double")
     assert {r.u for r in panel.balanced_units(df, "u", ["x", "y"]).collect()} == {"a", "b"} and panel.is_balanced(df, "u", "t")
     old, new = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0)], "u string, t int, v double"), spark.createDataFrame([("a", 2, 40.0), ("a", 3, 50.0)], "u string, t int, v double")
     assert {r.t: r.v for r in panel.splice(old, new, "u", "t", "v", 2).collect()} == {1: 5.0, 2: 40.0, 3: 50.0}
