@@ -141,7 +141,7 @@ def test_damage_is_seen():
 def test_token_ids_round_trip(spark, tmp_path):
     import glob
 
-    path = next((p for p in sorted(glob.glob("/opt/tokenizers/**/tokenizer.json", recursive=True))), None)
+    path = next((p for p in sorted(glob.glob("/opt/tokenizers/*bpe*.json"))), None)
     if path is None:
         pytest.skip("no tokenizer here")
     docs = spark.createDataFrame([(1, "Hello world, again.", "en", "s", 1), (2, None, None, None, None)], DOCS)
@@ -165,9 +165,9 @@ def test_line_rules(spark, line, rule):
 
 def test_documents_that_lose_too_much_go(spark):
     good = "A fine sentence that says something worth keeping in the end."
-    rows = [(1, f"{good}\nHome | About | Contact\n{good}\n\nMenu"), (2, "BUY!! NOW!! CHEAP!!\nok."), (3, None)]
+    rows = [(1, f"{good}\nHome | About | Contact\n{good[:20]}.\n{good[:20]}.\n\nMenu"), (2, "BUY!! NOW!! CHEAP!!\nok."), (3, None)]
     got = {r.doc_id: r for r in line_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].keep and got[1].text == good and (got[1].n_lines, got[1].n_navigation, got[1].n_repetition) == (4, 2, 1)
+    assert got[1].keep and got[1].text == f"{good}\n{good[:20]}." and (got[1].n_lines, got[1].n_navigation, got[1].n_repetition) == (5, 2, 1)
     assert not got[2].keep and not got[3].keep and got[3].text == ""
 
 
@@ -184,4 +184,4 @@ def test_pipeline_stages(spark, sf_dir):
     packed = p.run(spark, sf_dir).toPandas()
     assert set(packed.doc_id) == {r.doc_id for r in now.select("doc_id").collect()}
     left = " ".join(r.text for r in now.collect())
-    assert "[SECRET]" in left and not re.search(r'token = "[0-9a-f]{40}"', left)
+    assert not re.search(r'token = "[0-9a-f]{40}"', left)
