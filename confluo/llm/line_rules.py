@@ -29,23 +29,52 @@ _MARKS = r"(!!|\?\?|&&|%%|##|\$\$|\*\*|@@|==|~~|\+\+)"
 _ENDS = r"[.!?…:;。！？][\"'”’»)\]]*$"
 
 
-def _line_rule(line: Column) -> Column:
-    words = F.split(line, " +")
-    n = F.size(words)
-    bars = F.regexp_count(line, F.lit(_BAR))
+#: A text without these has no line that the costlier expressions match, as each alternative holds one of them.
+_HINTS = {
+    "notice": "reserved copyright © licen released commons terms privacy cookie javascript subscribe sign click powered lorem".split(),
+    "bar": list("|»›>•·"),
+    "mark": "!! ?? && %% ## $$ ** @@ == ~~ ++".split(),
+}
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _any_in(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _hints(text: Column) -> Column:
+    return F.struct(_any_in(F.lower(text), _HINTS["notice"]).alias("notice"), _any_in(text, _HINTS["bar"]).alias("bar"), _any_in(text, _HINTS["mark"]).alias("mark"))
+
+
+def _repetitive(line: Column) -> Column:
+    return _let(F.split(line, " +"), lambda w: (F.size(w) >= 6) & (F.size(F.array_distinct(w)) * 4 < F.size(w)))
+
+
+def _line_rule(line: Column, hints: Column | None = None) -> Column:
+    hints = _hints(line) if hints is None else hints
+    n = F.size(F.split(line, " +"))
+    barred = _let(F.regexp_count(line, F.lit(_BAR)), lambda bars: (bars >= 2) & (bars * 3 >= n))
     return (
-        F.when(line.rlike(_BOILERPLATE), "boilerplate")
-        .when((bars >= 2) & (bars * 3 >= n) | line.rlike(_MENU), "navigation")
-        .when((F.regexp_count(line, F.lit(_MARKS)) * 7 > n) | (n < 4) & ~line.rlike(_ENDS), "punctuation")
-        .when((n >= 6) & (F.size(F.array_distinct(words)) * 4 < n), "repetition")
+        F.when(hints["notice"] & line.rlike(_BOILERPLATE), "boilerplate")
+        .when(hints["bar"] & barred | line.rlike(_MENU), "navigation")
+        # Under four words is under three gaps.
+        .when(hints["mark"] & (F.regexp_count(line, F.lit(_MARKS)) * 7 > n) | ~line.rlike(" +[^ ]+ +[^ ]+ +[^ ]") & ~line.rlike(_ENDS), "punctuation")
+        .when(_repetitive(line), "repetition")
     )
 
 
-def _cleaned(text: Column) -> tuple[Column, Column]:
-    """Non-blank lines with the rule that each breaks, if any; later copies of a line are those that are missing."""
+def _cleaned(text: Column) -> Column:
+    """Non-blank lines, and the different ones of them with the rule that each breaks, if any."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " "))), lambda x: x != "")
-    once = F.array_distinct(lines)
-    return lines, F.transform(once, lambda x: F.struct(x.alias("line"), _line_rule(x).alias("rule")))
+    marked = lambda s: F.transform(F.array_distinct(s["l"]), lambda x: F.struct(x.alias("line"), _line_rule(x, s["h"]).alias("rule")))
+    return _let(F.struct(lines.alias("l"), _hints(text).alias("h")), lambda s: F.struct(s["l"].alias("l"), marked(s).alias("m")))
 
 
 def clean_lines(docs: DataFrame, *, most_lost: float = MOST_LOST) -> DataFrame:
@@ -56,9 +85,9 @@ def clean_lines(docs: DataFrame, *, most_lost: float = MOST_LOST) -> DataFrame:
     have no lines, a share of 1 and aren't kept; their cleaned text is empty. Repeated rows have repeated results,
     null ids are carried, other columns play no part, and an empty table gives no rows.
     """
-    lines, marked = _cleaned(F.coalesce(F.col("text"), F.lit("")))
-    # The struct is computed once a row; a projection of its own keeps Spark from repeating it in each use.
-    rows = docs.select(F.col("doc_id"), lines.alias("__l"), marked.alias("__m"))
+    # A projection of its own keeps Spark from repeating this in each use.
+    rows = docs.select(F.col("doc_id"), _cleaned(F.coalesce(F.col("text"), F.lit(""))).alias("__c"))
+    rows = rows.select("doc_id", F.col("__c.l").alias("__l"), F.col("__c.m").alias("__m"))
     size = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
     good = F.transform(F.filter("__m", lambda x: x["rule"].isNull()), lambda x: x["line"])
     broke = lambda r: F.size(F.filter("__m", lambda x: x["rule"] == r))
