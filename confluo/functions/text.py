@@ -18,8 +18,8 @@ TYPE_KEYWORDS = {
     "nutrients": "albuminoid ammonia kjeldahl nitrate nitrite nitrogen phosph",
     "oxygen_demand_organic_load": "detergents hydrocarbons oils_and_grease organic_carbon oxygen_demand",
     "microbiological": "algae bacteria coliform coliphages escherichia fungi phytoplankton protozoa salmonella streptococci zooplankton",
-    "metals": "aluminum arsenic barium beryllium bismuth boron cadmium chromium cobalt copper iron lead lithium manganese mercury nickel selenium silver tin uranium vanadium zinc",
-    "organics_pesticides": "2_4_ aldrin azinphos benz bhc carbaryl chlor ddt demeton diazinon disulfoton endosulfan endrin ethion guthion lindane malathion organophosphorus parathion phenol phosdrin toxaphene",
+    "metals": "zinc vanadium uranium tin silver selenium nickel mercury manganese lithium lead iron copper cobalt chromium cadmium boron bismuth beryllium barium arsenic aluminum",
+    "organics_pesticides": "toxaphene phosdrin phenol parathion organophosphorus malathion lindane guthion ethion endrin endosulfan disulfoton diazinon demeton ddt chlor carbaryl bhc benz azinphos aldrin 2_4_",
     "core_physicochemical": "acidity alkalinity color conductivity fluorides hardness oxygen_saturation ph solids sulfates sulfides transparency turbidity",
 }
 

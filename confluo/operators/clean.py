@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.functions.numeric import number
-from confluo.operators.profile import variable_profile
+from confluo.operators.profile import PROFILE, variable_profile
 
 LABELS = ("OK", "REMOVE_CODED", "REMOVE_INVALID")
 _MICROBES = ("escherichia", "fecal_coliforms", "thermotolerant_coliforms", "total_coliforms")
@@ -86,7 +86,7 @@ def clean_measurement_values(frame: DataFrame, columns: Sequence[str], *, row_id
     joined = frame.join(gone, row_id, "left")
     clean = joined.select(*[F.when(F.coalesce(F.array_contains("__gone", c), F.lit(False)), None).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in frame.columns])
     counts = flags.groupBy("variable").agg(
-        *[F.first(c).alias(c) for c in ("n", "n_sensors", "min", "q1", "median", "q3", "p99", "max", "mean", "std", "skew", "share_zero", "share_negative", "iqr", "upper_iqr")],
+        *[F.first(c).alias(c) for c in PROFILE],
         F.count_if("flag_extreme_review").alias("extreme_review"), F.count_if("flag_microbio_high").alias("microbio_high"),
         *[F.count_if(F.col("cleaning_label") == x).alias(x) for x in LABELS],
     )

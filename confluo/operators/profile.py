@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from confluo.functions.numeric import col, ratio
 
-PROFILE = ("n", "n_sensors", "min", "q1", "median", "q3", "p99", "max", "mean", "std", "skew", "share_zero", "share_negative", "iqr", "upper_iqr")
+PROFILE = ("n", "n_sensors", "mean", "std", "skew", "min", "q1", "median", "q3", "iqr", "upper_iqr", "p99", "max", "share_zero", "share_negative")
 
 
 def skewness(value: Column | str) -> Column:

@@ -20,10 +20,9 @@ from confluo.functions.text import TYPE_KEYWORDS, date_of, period_key
 from confluo.operators.estimate import fe_ols, fit
 from confluo.operators.guards import checked_join, require_columns
 
-CLASSES = {
-    "c0": "Forest formation", "c1": "Savanna formation", "c2": "Mangrove", "c3": "Floodable forest", "c4": "Wetland", "c5": "Grassland", "c30": "Pasture", "c31": "Agriculture",
-    "c40": "Non-vegetated area", "c41": "Urban area", "c42": "Mining",
-}
+_LABELS = """31 Agriculture; 3 Floodable forest; 0 Forest formation; 5 Grassland; 2 Mangrove; 42 Mining; 40 Non-vegetated area; 30 Pasture; 1 Savanna formation; 41 Urban area; 4 Wetland"""
+#: Land-cover classes by their identifiers, in the order of their numbers.
+CLASSES = {f"c{n}": label for n, label in sorted((int(x.split()[0]), x.split(maxsplit=1)[1]) for x in _LABELS.split(";"))}
 #: A sample of up to this many cells (rows by columns, 8 bytes each) is sent to every task; models of larger ones are fitted by Spark one after the other.
 CELLS_SENT = 10_000_000
 
@@ -60,15 +59,24 @@ class Pollutant:
 @dataclass(frozen=True)
 class ModelSpec:
     pollutant: str
-    group_kind: str
-    group_name: str
     land_cover_subclass: str
-    distance_step_index: int
-    distance_step_name: str
     included_buckets: tuple[str, ...]
-    outcome_column: str
     coefficient_columns: tuple[str, ...]
     formula: str
+    group_kind: str
+    group_name: str
+
+    @property
+    def outcome_column(self) -> str:
+        return f"{self.pollutant}__transformed"
+
+    @property
+    def distance_step_index(self) -> int:
+        return len(self.included_buckets)
+
+    @property
+    def distance_step_name(self) -> str:
+        return self.included_buckets[-1]
 
 
 @dataclass(frozen=True)
@@ -138,7 +146,7 @@ def build_model_specs(settings: SuiteSettings, selection: Selection | Sequence[s
                 used = settings.buckets[:k]
                 columns = tuple(f"lc_{b}_{c}_{settings.statistic}" for b in used)
                 formula = f"{p}__transformed ~ {' + '.join([*columns, *settings.control_columns()])} | {' + '.join(settings.fixed_effects)}"
-                out.append(ModelSpec(p, chosen.group_kind, chosen.group_name, c, k, used[-1], used, f"{p}__transformed", columns, formula))
+                out.append(ModelSpec(p, c, used, columns, formula, chosen.group_kind, chosen.group_name))
     return out
 
 
