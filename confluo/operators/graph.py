@@ -75,24 +75,25 @@ def node_distances(trenches: DataFrame) -> DataFrame:
 
 
 def upstream_pairs(trenches: DataFrame, *, include_siblings: bool = True, max_hops: int | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """``target``, ``source``, ``system_id`` and ``distance`` of every trench ``source`` upstream of a trench ``target``, itself at 0.
+    """``target``, ``source``, ``distance`` and, where trenches have one, ``system_id`` of every trench ``source`` upstream of a trench ``target``, itself at 0.
 
     A trench is upstream if its upper node reaches the target's lower node. That takes in trenches that only join at the target's
     lower end, and what is above them; without ``include_siblings`` it must reach the target's upper node. The distance is that of the
     lower ends from the estuary. ``targets`` (``trench_id``) limits the work before the pairs are built.
     """
-    t = trenches.select("trench_id", "upstream_node", "downstream_node", "system_id", "estuary_distance")
+    system = ["system_id"] if "system_id" in trenches.columns else []
+    t = trenches.select("trench_id", "upstream_node", "downstream_node", *system, "estuary_distance")
     wanted = t if targets is None else t.join(targets.select("trench_id").distinct(), "trench_id", "left_semi")
     low = "downstream_node" if include_siblings else "upstream_node"
-    a = wanted.select(F.col("trench_id").alias("target"), F.col(low).alias("dst"), "system_id", F.col("estuary_distance").alias("__a"))
+    a = wanted.select(F.col("trench_id").alias("target"), F.col(low).alias("dst"), *system, F.col("estuary_distance").alias("__a"))
     b = t.select(F.col("trench_id").alias("source"), F.col("upstream_node" if include_siblings else "downstream_node").alias("src"), F.col("estuary_distance").alias("__b"))
     reach = closure(edges_of(trenches), max_hops).select("src", "dst")
     if not include_siblings:
         # The source's lower node may be the target's upper node itself.
         reach = reach.unionByName(node_ids(trenches).select(F.col("node").alias("src"), F.col("node").alias("dst")))
-    pairs = a.join(reach, "dst").join(b, "src").where("target <> source").select("target", "source", "system_id", (F.col("__b") - F.col("__a")).alias("distance"))
-    itself = a.select("target", F.col("target").alias("source"), "system_id", F.lit(0.0).alias("distance"))
-    return pairs.unionByName(itself).groupBy("target", "source").agg(F.min("system_id").alias("system_id"), F.min("distance").alias("distance"))
+    pairs = a.join(reach, "dst").join(b, "src").where("target <> source").select("target", "source", *system, (F.col("__b") - F.col("__a")).alias("distance"))
+    itself = a.select("target", F.col("target").alias("source"), *system, F.lit(0.0).alias("distance"))
+    return pairs.unionByName(itself).groupBy("target", "source").agg(*[F.min(c).alias(c) for c in system], F.min("distance").alias("distance"))
 
 
 def index_trenches(trenches: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def rivers(t: Tables) -> DataFrame:
 
 
 def pairs(t: Tables, **how: object) -> DataFrame:
-    return graph.upstream_pairs(rivers(t), **how)
+    return graph.upstream_pairs(graph.accumulated_distance(tree(t)), **how)
 
 
 @query(f"WITH RECURSIVE {_TREE} SELECT src, dst, hops FROM c")
