@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import flat
+from confluo.llm.names import free_name
 
 FEATURES = (
     "log_words", "word_length", "symbol_share", "upper_share", "digit_share", "punct_share", "pipe_share", "bang_share",
@@ -230,4 +231,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, bound: int = 8000, thre
 def filter_quality(docs: DataFrame, labels: DataFrame, *, bound: int = 8000, threshold: float = 0.35) -> DataFrame:
     """The rows of ``docs`` that :func:`score_quality` keeps, all columns as they were. Null and empty texts go."""
     udf = scorer(fit_gam(*training_rows(docs, labels, bound=bound)), threshold)
-    return docs.withColumn("__confluo_q", udf(F.col("text"))).where(F.col("__confluo_q.keep")).drop("__confluo_q")
+    q = free_name(docs, "__confluo_q")
+    return docs.withColumn(q, udf(F.col("text"))).where(F.col(q)["keep"]).drop(q)

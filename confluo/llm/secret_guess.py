@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confluo.llm.names import free_name
+
 THRESHOLD = 10.0
 #: Each further segment costs this much: a guesser must try where one ends.
 JOIN = math.log10(2)
@@ -214,9 +216,10 @@ def redact_secrets(docs: DataFrame, *, threshold: float = THRESHOLD, mark: str =
 
     clean.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     udf = F.arrow_udf(clean, "string").asNondeterministic()
-    new = docs.withColumn("__confluo_clean", udf(_hinted(F.col("text"))))
-    changed = {"text": F.coalesce("__confluo_clean", "text")}
+    made = free_name(docs, "__confluo_clean")
+    new = docs.withColumn(made, udf(_hinted(F.col("text"))))
+    changed = {"text": F.coalesce(made, "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("__confluo_clean").isNotNull(), F.length("__confluo_clean")).otherwise(F.col("n_chars")).cast(kind)
-    return new.withColumns(changed).drop("__confluo_clean")
+        changed["n_chars"] = F.when(F.col(made).isNotNull(), F.length(made)).otherwise(F.col("n_chars")).cast(kind)
+    return new.withColumns(changed).drop(made)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from confluo.llm import flat
+from confluo.llm.names import free_name
 from confluo.operators.components import connected_components
 from confluo.session import cut
 
@@ -274,19 +275,20 @@ def drop_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
     """
     fp = cut(fingerprint_table(docs))
     grouped = _grouped(fp, **how).groupBy("id").agg(F.min("group_id").alias("group_id"))
-    gone = grouped.where("id <> group_id").select(F.col("id").alias("__confluo_id"))
-    again = fp.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__confluo_id"))
-    marks = cut(gone.withColumn("__confluo_gone", F.lit(True)).unionByName(again.withColumn("__confluo_gone", F.lit(False))))
-    marks = marks.groupBy("__confluo_id").agg(F.max("__confluo_gone").alias("__confluo_gone"), F.count("*").alias("__confluo_n"))
-    n_gone, n_again = marks.agg(F.count_if(F.expr("__confluo_gone")), F.count_if(F.expr("not __confluo_gone"))).first()
+    key, drop, place = (free_name(docs, n) for n in ("__confluo_id", "__confluo_gone", "__confluo_n"))
+    gone = grouped.where("id <> group_id").select(F.col("id").alias(key))
+    again = fp.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(key))
+    marks = cut(gone.withColumn(drop, F.lit(True)).unionByName(again.withColumn(drop, F.lit(False))))
+    marks = marks.groupBy(key).agg(F.max(drop).alias(drop), F.count("*").alias(place))
+    n_gone, n_again = marks.agg(F.count_if(F.expr(drop)), F.count_if(F.expr(f"not {drop}"))).first()
 
     def small(df: DataFrame, n: int) -> DataFrame:
         return F.broadcast(df) if n <= BROADCAST_IDS else df
 
-    on = docs["doc_id"] == F.col("__confluo_id")
-    out = docs.join(small(marks.select("__confluo_id"), n_gone + n_again), on, "left_anti")
+    on = docs["doc_id"] == F.col(key)
+    out = docs.join(small(marks.select(key), n_gone + n_again), on, "left_anti")
     if n_again:
         first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        kept = docs.join(small(marks.where("not __confluo_gone").select("__confluo_id"), n_again), on, "left_semi")
-        out = out.unionByName(kept.withColumn("__confluo_n", F.row_number().over(first)).where("__confluo_n = 1").drop("__confluo_n"))
+        kept = docs.join(small(marks.where(f"not {drop}").select(key), n_again), on, "left_semi")
+        out = out.unionByName(kept.withColumn(place, F.row_number().over(first)).where(f"{place} = 1").drop(place))
     return out

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import flat
+from confluo.llm.names import free_name
 
 WORDS = 8
 LEAST_WORDS = 5
@@ -204,7 +205,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, words: int = WO
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` in which :func:`find_contamination` finds nothing, all columns as they were."""
     for udf in _passes(docs, benchmark, words):
-        docs = docs.withColumn("__confluo_hits", udf(F.col("text"))).where(F.size("__confluo_hits") == 0).drop("__confluo_hits")
+        hits = free_name(docs, "__confluo_hits")
+        docs = docs.withColumn(hits, udf(F.col("text"))).where(F.size(hits) == 0).drop(hits)
     return docs
 
 
