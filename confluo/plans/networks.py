@@ -121,8 +121,8 @@ g AS (SELECT k.target AS trench_id, k.year, {_SUMS} FROM k JOIN pairs USING (tar
 SELECT *, {_SHARES} FROM g
 """)
 def upstream_bucket_assembly(t: Tables) -> DataFrame:
-    """The flagship: land cover upstream of each target in its year, by bucket of distance."""
-    targets = t.lineitem.where("l_linenumber = 1 and l_partkey >= 4").select(F.col("l_partkey").alias("trench_id"), (F.year("l_shipdate") + 1).alias("year")).distinct()
+    """The flagship: land cover upstream of each target in its year, by bucket of distance. The SQL takes only targets with a first line item."""
+    targets = t.lineitem.where("l_partkey >= 4").select(F.col("l_partkey").alias("trench_id"), (F.year("l_shipdate") + 1).alias("year")).distinct()
     return network.upstream_by_bucket(targets, pairs(t, targets=targets), cover(t), ["c_a", "c_r"], total="total")
 
 
