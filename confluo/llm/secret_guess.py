@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,10 @@ _YEAR = re.compile(r"(?a)(?:19|20)\d\d")
 _BASE_YEAR = 2025
 
 _NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|(?:auth|access|refresh|id|api|bearer|session)?[_-]?token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"
+# Letters may come before a name, as in dbPassword and PGPASSWORD, but not as the rest of these words.
+_WORDS = "|".join(rf"(?<={x})pass(?![a-z])" for x in ("by", "com", "over", "sur", "tres", "under"))
 _CONTEXT = re.compile(
-    rf"""(?ai)(?<![a-z]){_NAME}["'\]]{{0,2}}\s{{0,4}}(?::=|=>|==?|:)\s{{0,4}}(?:"(?P<double>[^"\n]{{6,}})"|'(?P<single>[^'\n]{{6,}})'|(?P<bare>[^\s"'<>,;]{{6,}}))"""
+    rf"""(?ai)(?!{_WORDS}){_NAME}["'\]]{{0,2}}\s{{0,4}}(?::=|=>|==?|:)\s{{0,4}}(?:"(?P<double>[^"\n]{{6,}})"|'(?P<single>[^'\n]{{6,}})'|(?P<bare>[^\s"'<>,;]{{6,}}))"""
     r"""|\bbearer\s+(?P<bearer>[A-Za-z0-9._~+/=-]{6,})|://[^\s/@:]*:(?P<url>[^\s/@]{6,})@"""
     r"""|-----BEGIN [A-Z ]*PRIVATE KEY-----(?P<pem>[A-Za-z0-9+/=\s]{6,})-----END"""
 )
@@ -51,6 +54,12 @@ _CONTEXT = re.compile(
 _HINT = r"(?i)pass|pwd|secret|token|key|credential|auth|bearer|://[^\s/@:]*:[^\s/@]*@"
 
 
+#: A word of prose has at most so many letters.
+_PROSE = 20
+#: Consonants that come after a consonant in words of European languages.
+_FOLLOW = {x[0]: x[1:] for x in "bcdjlmprstv chklnqrst dbghjlmnrstvw flrst gdhlmnrst hlmnrtw j klnrstw lbcdfghkmnpstvwz mbflnpst nbcdfghjklmpqrstvwxz pcfhlmnrst q rbcdfghjklmnpqstvwz sbcdfghklmnpqrtw tbcfghlmnprswz vr wdhklmnrst xcfhpt zltw".split()}
+
+
 def _word_cost(piece: str) -> float | None:
     low = piece.lower()
     plain = low.translate(_LEET)
@@ -154,6 +163,19 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _wordlike(letters: str) -> bool:
+    """Whether neighbouring consonants are those of words in Latin script, but for one pair in sixteen. Other scripts aren't judged."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", letters.lower()) if not unicodedata.combining(c))
+    odd = sum(a in _FOLLOW and b in _FOLLOW and a != b and b not in _FOLLOW[a] or a == "q" and b != "u" for a, b in zip(plain, plain[1:]))
+    return odd * 16 <= len(plain) - 1 and any(c not in _FOLLOW for c in plain)
+
+
+def _prose(value: str) -> bool:
+    """Whether an unquoted value is a plain word of prose, however rare: letters in a word's order, at most ``_PROSE`` of them."""
+    m = re.fullmatch(r"([^\W\d_]+)[.,:;!?)*&%#$|]*", value)
+    return m is not None and len(m[1]) <= _PROSE and not re.search(r"[a-z][A-Z]", m[1]) and _wordlike(m[1])
+
+
 def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float, bool]]:
     """(start, end, context, log10 guesses, whether it is a secret) of each value in a credential's place."""
     out = []
@@ -162,9 +184,7 @@ def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, st
         value = m[kind]
         bare = "".join(value.split()) if kind == "pem" else value
         cost = guess_cost(bare)
-        # A bare value that is a plain word of prose is none, however rare the word.
-        prose = kind == "bare" and re.fullmatch(r"[^\W\d_]+[.,:;!?)*&%#$|]*", bare) is not None and not re.search(r"[a-z][A-Z]", bare)
-        out.append((m.start(kind), m.end(kind), kind, round(cost, 4), cost >= threshold and not prose))
+        out.append((m.start(kind), m.end(kind), kind, round(cost, 4), cost >= threshold and not (kind == "bare" and _prose(bare))))
     return out
 
 
