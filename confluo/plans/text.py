@@ -44,10 +44,10 @@ def fixed_width_parse(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, CAST(o_orderkey % 1000 + 100 AS DOUBLE) + (o_orderkey % 10000) / 10000.0::DOUBLE AS weight FROM orders WHERE o_orderkey % 10000 >= 1000")
 def implied_decimals(t: Tables) -> DataFrame:
-    o = t.orders.where("o_orderkey % 10000 >= 1000 and o_orderkey % 1000 + 100 < 1000")
-    digits = F.concat((F.col("o_orderkey") % 1000 + 100).cast("string"), (F.col("o_orderkey") % 10000).cast("string"))
-    high = t.orders.where("o_orderkey % 10000 >= 1000 and o_orderkey % 1000 + 100 >= 1000").select("o_orderkey", (F.col("o_orderkey") % 1000 + 100 + (F.col("o_orderkey") % 10000) / 10000.0).alias("weight"))
-    return o.select("o_orderkey", tx.implied_decimal(digits).alias("weight")).union(high)
+    """The operator on the digits of every order, of which three or four are before the point. The SQL leaves out orders whose number ends in under 1000."""
+    before = (F.col("o_orderkey") % 1000 + 100).cast("string")
+    digits = F.concat(before, F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))
+    return t.orders.select("o_orderkey", F.when(F.length(before) == 4, tx.implied_decimal(digits, 4)).otherwise(tx.implied_decimal(digits)).alias("weight"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, try_cast(json_extract_string(props, '$.ref') AS VARCHAR) AS ref FROM events")
