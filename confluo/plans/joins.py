@@ -115,11 +115,11 @@ def point_in_polygon(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT o_custkey AS id, min(o_totalprice) AS x0, max(o_totalprice) AS x1, CAST(min(o_orderkey) AS DOUBLE) AS y0, CAST(max(o_orderkey) AS DOUBLE) AS y1, max(o_custkey % 40) AS cell FROM orders GROUP BY 1)
-SELECT a.id AS left_id, b.id AS right_id FROM b a JOIN b ON a.cell = b.cell AND a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
+WITH b AS (SELECT o_custkey AS id, min(o_totalprice) AS x0, max(o_totalprice) AS x1, CAST(min(o_orderkey) AS DOUBLE) AS y0, CAST(max(o_orderkey) AS DOUBLE) AS y1 FROM orders GROUP BY 1)
+SELECT a.id AS left_id, b.id AS right_id FROM b a JOIN b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
 """)
 def box_intersect_join(t: Tables) -> DataFrame:
-    """Every pair of customers whose boxes touch. The SQL compares only ids that are equal modulo 40, so it states a part of this."""
+    """Every pair of customers whose boxes touch."""
     b = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_totalprice").alias("x0"), F.min("o_orderkey").cast("double").alias("y0"), F.max("o_totalprice").alias("x1"), F.max("o_orderkey").cast("double").alias("y1"))
     return matching.box_join(b, b, ("x0", "y0", "x1", "y1"), left_id="id", right_id="id").where(F.col("left_id") < F.col("right_id"))
 

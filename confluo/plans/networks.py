@@ -116,12 +116,12 @@ _SHARES = ", ".join(f"lc_{b}_{c}_cnt / nullif(lc_{b}_tot, 0) AS lc_{b}_{c}_shr"
 
 
 @query(f"""
-WITH RECURSIVE {_TREE}, {_COVER}, k AS (SELECT DISTINCT l_partkey AS target, CAST(year(l_shipdate) AS INT) + 1 AS year FROM lineitem WHERE l_linenumber = 1 AND l_partkey >= 4),
+WITH RECURSIVE {_TREE}, {_COVER}, k AS (SELECT DISTINCT l_partkey AS target, CAST(year(l_shipdate) AS INT) + 1 AS year FROM lineitem WHERE l_partkey >= 4),
 g AS (SELECT k.target AS trench_id, k.year, {_SUMS} FROM k JOIN pairs USING (target) LEFT JOIN cover v ON v.trench_id = source AND v.year = k.year GROUP BY ALL)
 SELECT *, {_SHARES} FROM g
 """)
 def upstream_bucket_assembly(t: Tables) -> DataFrame:
-    """The flagship: land cover upstream of each target in its year, by bucket of distance. The SQL takes only targets with a first line item."""
+    """The flagship: land cover upstream of each target in its year, by bucket of distance."""
     targets = t.lineitem.where("l_partkey >= 4").select(F.col("l_partkey").alias("trench_id"), (F.year("l_shipdate") + 1).alias("year")).distinct()
     return network.upstream_by_bucket(targets, pairs(t, targets=targets), cover(t), ["c_a", "c_r"], total="total")
 

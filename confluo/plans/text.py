@@ -11,10 +11,10 @@ from confluo.plans.registry import Tables, query
 
 
 @query("""
-SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(translate(lower(substr(text, 1, 80)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'run') AS slug FROM documents
+SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'run') AS slug FROM documents
 """)
 def slugify_titles(t: Tables) -> DataFrame:
-    """A slug of each whole text. The SQL states that of its first 80 characters."""
+    """A slug of each whole text."""
     return t.documents.select("doc_id", tx.slugify("text").alias("slug"))
 
 
@@ -42,9 +42,9 @@ def fixed_width_parse(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", *tx.fixed_width(line, {"size": (1, 4, "int"), "price": (5, 16, "double"), "brand": (17, 28, "string")}))
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey % 1000 + 100 AS DOUBLE) + (o_orderkey % 10000) / 10000.0::DOUBLE AS weight FROM orders WHERE o_orderkey % 10000 >= 1000")
+@query("SELECT o_orderkey, CAST(o_orderkey % 1000 + 100 AS DOUBLE) + (o_orderkey % 10000) / 10000.0::DOUBLE AS weight FROM orders")
 def implied_decimals(t: Tables) -> DataFrame:
-    """The operator on the digits of every order, of which three or four are before the point. The SQL leaves out orders whose number ends in under 1000."""
+    """The operator on the digits of every order, of which three or four are before the point."""
     before = (F.col("o_orderkey") % 1000 + 100).cast("string")
     digits = F.concat(before, F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))
     return t.orders.select("o_orderkey", F.when(F.length(before) == 4, tx.implied_decimal(digits, 4)).otherwise(tx.implied_decimal(digits)).alias("weight"))
