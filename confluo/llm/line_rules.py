@@ -21,17 +21,28 @@ RULES = ("boilerplate", "navigation", "punctuation", "repetition")
 
 _BOILERPLATE = (
     r"(?i)(all rights reserved|copyright (\(c\)|©|[0-9]{4})|© ?[0-9]{4}|licensed under|released under the|general public licen[sc]e|creative commons|terms (of|and) (use|service|conditions)"
-    r"|privacy policy|cookie (policy|settings|consent)|(uses?|accept) cookies|(please )?enable javascript|subscribe to (our|the)|sign up for|click here|powered by|lorem ipsum)"
+    r"|privacy policy|cookie (policy|settings|consent)|(uses?|accept) cookies|enable javascript|subscribe to (our|the)|sign up for|click here|powered by|lorem ipsum"
+    r"|todos los derechos reservados|pol[ií]tica de (privacidad|cookies)|tous droits r[ée]serv[ée]s|mentions l[ée]gales|politique de confidentialit[ée]|alle rechte vorbehalten|datenschutzerkl[äa]rung|allgemeine gesch[äa]ftsbedingungen)"
 )
 _BAR = r" [|»›>•·] "
-_MENU = r"(?i)^((home|menu|login|log in|sign in|sign up|register|search|contact|about|about us|next|previous|prev|back|top|share|tweet|print|sitemap|help|faq|skip to content|read more)[ |/,>»·•-]*)+$"
+#: Those that another one starts with come after it, so that taking the first that fits never needs to be undone.
+_MENU_WORDS = (
+    "home|menu|login|log in|sign in|sign up|register|search|contacto|contact|about us|about|next|previous|prev|back|top|share|tweet|print|sitemap|help|faq|skip to content|read more"
+    "|inicio|buscar|siguiente|anterior|accueil|rechercher|suivant|startseite|kontakt|suche|weiter|impressum"
+)
+_MENU_GAP = "[ |/,>»·•-]"
+_MENU_SQL = rf"(?i)^(({_MENU_WORDS}){_MENU_GAP}*)+\z"
+#: The same, possessive: this engine then walks the words in a loop. Otherwise it recurses, and a menu of some thousand words overflows its stack.
+_MENU = rf"(?i)^(?:(?:{_MENU_WORDS}){_MENU_GAP}*+)++\z"
+#: Four words or more. It tries no run of blanks twice, so its time is linear in the line.
+_FOUR_WORDS = "(?<! ) ++[^ ]++ ++[^ ]++ ++[^ ]"
 _MARKS = r"(!!|\?\?|&&|%%|##|\$\$|\*\*|@@|==|~~|\+\+)"
-_ENDS = r"[.!?…:;。！？][\"'”’»)\]]*$"
+_ENDS = r"[.!?…:;。！？][\"'”’»)\]]*\z"
 
 
 #: A text without these has no line that the costlier expressions match, as each alternative holds one of them.
 _HINTS = {
-    "notice": "reserved copyright © licen released commons terms privacy cookie javascript subscribe sign click powered lorem".split(),
+    "notice": "reserved copyright © licen released commons terms privacy cookie javascript subscribe sign click powered lorem reservados privacidad droits mentions politique vorbehalten datenschutz bedingungen".split(),
     "bar": list("|»›>•·"),
     "mark": "!! ?? && %% ## $$ ** @@ == ~~ ++".split(),
 }
@@ -64,15 +75,14 @@ def _line_rule(line: Column, hints: Column | None = None) -> Column:
     return (
         F.when(hints["notice"] & line.rlike(_BOILERPLATE), "boilerplate")
         .when(hints["bar"] & barred | line.rlike(_MENU), "navigation")
-        # Under four words is under three gaps.
-        .when(hints["mark"] & (F.regexp_count(line, F.lit(_MARKS)) * 7 > n) | ~line.rlike(" +[^ ]+ +[^ ]+ +[^ ]") & ~line.rlike(_ENDS), "punctuation")
+        .when(hints["mark"] & (F.regexp_count(line, F.lit(_MARKS)) * 7 > n) | ~line.rlike(_FOUR_WORDS) & ~line.rlike(_ENDS), "punctuation")
         .when(_repetitive(line), "repetition")
     )
 
 
 def _cleaned(text: Column) -> Column:
     """Non-blank lines, and the different ones of them with the rule that each breaks, if any."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " "))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.translate(text, "\t\r", "  "), "\n"), F.trim), lambda x: x != "")
     marked = lambda s: F.transform(F.array_distinct(s["l"]), lambda x: F.struct(x.alias("line"), _line_rule(x, s["h"]).alias("rule")))
     return _let(F.struct(lines.alias("l"), _hints(text).alias("h")), lambda s: F.struct(s["l"].alias("l"), marked(s).alias("m")))
 
@@ -83,7 +93,8 @@ def clean_lines(docs: DataFrame, *, most_lost: float = MOST_LOST) -> DataFrame:
 
     A document is kept if something of it is left and at most ``most_lost`` of its characters went. Null and blank texts
     have no lines, a share of 1 and aren't kept; their cleaned text is empty. Repeated rows have repeated results,
-    null ids are carried, other columns play no part, and an empty table gives no rows.
+    null ids are carried, other columns play no part, and an empty table gives no rows. Texts and lines may be of any length: every
+    rule takes time in proportion to the line, and none recurses.
     """
     # A projection of its own keeps Spark from repeating this in each use.
     rows = docs.select(F.col("doc_id"), _cleaned(F.coalesce(F.col("text"), F.lit(""))).alias("__c"))
@@ -111,7 +122,7 @@ WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text,
 o AS (SELECT doc_id, l, [x FOR x, i IN l IF list_position(l, x) = i] AS o FROM l),
 m AS (SELECT doc_id, l, list_transform(o, lambda x: {{'line': x, 'rule': CASE
   WHEN regexp_matches(x, {_sql(_BOILERPLATE)}) THEN 'boilerplate'
-  WHEN len(regexp_extract_all(x, {_sql(_BAR)})) >= 2 AND len(regexp_extract_all(x, {_sql(_BAR)})) * 3 >= len(string_split_regex(x, ' +')) OR regexp_matches(x, {_sql(_MENU)}) THEN 'navigation'
+  WHEN len(regexp_extract_all(x, {_sql(_BAR)})) >= 2 AND len(regexp_extract_all(x, {_sql(_BAR)})) * 3 >= len(string_split_regex(x, ' +')) OR regexp_matches(x, {_sql(_MENU_SQL)}) THEN 'navigation'
   WHEN len(regexp_extract_all(x, {_sql(_MARKS)})) * 7 > len(string_split_regex(x, ' +')) OR len(string_split_regex(x, ' +')) < 4 AND NOT regexp_matches(x, {_sql(_ENDS)}) THEN 'punctuation'
   WHEN len(string_split_regex(x, ' +')) >= 6 AND list_unique(string_split_regex(x, ' +')) * 4 < len(string_split_regex(x, ' +')) THEN 'repetition'
 END}}) AS m FROM o),
