@@ -82,7 +82,7 @@ def _line_rule(line: Column, hints: Column | None = None) -> Column:
 
 def _cleaned(text: Column) -> Column:
     """Non-blank lines, and the different ones of them with the rule that each breaks, if any."""
-    lines = F.filter(F.transform(F.split(F.translate(text, "\t\r", "  "), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.translate(text, "\t\r", "  "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     marked = lambda s: F.transform(F.array_distinct(s["l"]), lambda x: F.struct(x.alias("line"), _line_rule(x, s["h"]).alias("rule")))
     return _let(F.struct(lines.alias("l"), _hints(text).alias("h")), lambda s: F.struct(s["l"].alias("l"), marked(s).alias("m")))
 

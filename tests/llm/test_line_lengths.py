@@ -32,3 +32,8 @@ def test_menu_expressions_agree(spark, line):
 def test_no_menu_word_hides_a_longer_one():
     words = line_rules._MENU_WORDS.split("|")
     assert not [(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if b.startswith(a)]
+
+
+def test_lines_keep_their_digits(spark):
+    text = "\n".join(f"{k} lines are counted here, {k}." for k in range(12))
+    assert line_rules.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == text
