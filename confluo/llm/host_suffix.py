@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import flat
+from confluo.session import cut
 
 LEAST = 10
 HOST_BYTES = 16 << 20
@@ -36,18 +37,44 @@ AT_ONCE = 2000
 SCHEMA = "page_id bigint, host string, n_tokens int, n_removed int, text string"
 _ARROW = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("n_tokens", pa.int32()), ("n_removed", pa.int32()), ("text", pa.string())])
 
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>.*?</title\s*>")
+_BLOCK = "body|p|div|h[1-6]|ul|ol|li|dl|table|article|section|main|header|footer|nav|aside|form|blockquote|pre|hr|figure|address|fieldset|center"
+#: What holds no visible text. Without an end tag, the first kind goes on to the end of the page, as in a browser; the second is taken as it
+#: stands; the third ends at the next block.
+_RAW, _OPTIONAL, _BREAKABLE = ("script", "style", "textarea", "iframe"), ("noscript", "template"), ("svg", "select", "title")
+_OPEN = re.compile(rf"(?i)<!--|<({'|'.join(_RAW + _OPTIONAL + _BREAKABLE)})\b[^<>]*>?")
+_CLOSE = {n: re.compile(rf"(?i)</{n}\s*>") for n in _RAW + _OPTIONAL} | {n: re.compile(rf"(?i)</{n}\s*>|(?=<(?:{_BLOCK}|/head)\b)") for n in _BREAKABLE}
 _INLINE = re.compile(r"(?i)</?(?:a|abbr|b|bdi|bdo|big|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)(?:\s[^<>]*)?>")
 _TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>?")
 _SPACES = re.compile(r"[^\S\n]+")
 _BREAKS = re.compile(r"\s*\n\s*")
 
 
+def _visible(page: str) -> str:
+    """The page without comments and elements that hold no visible text. Nothing is scanned twice, so the time is linear."""
+    out, at, endless = [], 0, set()
+    while m := _OPEN.search(page, at):
+        out += [page[at : m.start()], "\n"]
+        name = m[1].lower() if m[1] else None
+        if name is None:
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+            continue
+        end = None if name in endless else _CLOSE[name].search(page, m.end())
+        if end:
+            at = end.end()
+        elif name in _OPTIONAL:
+            endless.add(name)
+            at = m.end()
+        else:
+            at = len(page)
+    return "".join([*out, page[at:]])
+
+
 def extract(page: str | None) -> str:
-    """Visible text of a page, one line a block, one space between words. Null and empty pages give an empty text."""
+    """Visible text of a page, one line a block, one space between words. Null and empty pages give an empty text. Missing end tags lose no block that follows."""
     if not page:
         return ""
-    text = _TAG.sub("\n", _INLINE.sub("", _DROP.sub("\n", page.replace("\n", " ").replace("\0", " "))))
+    text = _TAG.sub("\n", _INLINE.sub("", _visible(page.replace("\n", " ").replace("\0", " "))))
     return _BREAKS.sub("\n", _SPACES.sub(" ", html_lib.unescape(text))).strip()
 
 
@@ -266,32 +293,36 @@ def _dealer(least: int, parts_of: str = "parts") -> Callable:
     return run
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts the suffixes of a host in a range of hashes; gives each page those of its hashes that are in another page too."""
-    for (host, part), rows in _groups(batches, ["host", "part"]):
-        keys, hashes = [], []
-        for row in rows:
-            raw = row["blob"]
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            keys.append(np.repeat(np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n)))
-            hashes.append(_eight(raw[8 + 12 * n :]))
-        rows.clear()
-        key, h = np.concatenate(keys), _fingerprint(np.concatenate(hashes), part)
-        del keys, hashes
-        order = np.argsort(h, kind="stable")
-        key, h = key[order], h[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        both = np.repeat(np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first), np.diff(np.append(first, len(h))))
-        key, h = key[both], h[both]
-        order = np.lexsort((h, key))
-        key, h = key[order], h[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-        key, h = key[fresh], h[fresh]
-        if len(key):
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            data = [x.tobytes() for x in np.split(h, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([host] * len(first), pa.string()), pa.array(key[first].view(np.int64)), pa.array(data, pa.binary())], names=["host", "key", "hashes"])
+def _meeting(buckets: int) -> Callable:
+    """Sorts the suffixes of a host in a range of hashes; gives each bucket of pages those of its hashes that are in two pages or more, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (host, part), rows in _groups(batches, ["host", "part"]):
+            keys, hashes = [], []
+            for row in rows:
+                raw = row["blob"]
+                n = int(np.frombuffer(raw, np.int64, 1)[0])
+                keys.append(np.repeat(np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n)))
+                hashes.append(_eight(raw[8 + 12 * n :]))
+            rows.clear()
+            key, h = np.concatenate(keys), _fingerprint(np.concatenate(hashes), part)
+            del keys, hashes
+            order = np.argsort(h, kind="stable")
+            key, h = key[order], h[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            both = np.repeat(np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first), np.diff(np.append(first, len(h))))
+            bucket, h = (key[both] % np.uint64(buckets)).astype(np.int64), h[both]
+            order = np.lexsort((h, bucket))
+            bucket, h = bucket[order], h[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
+            bucket, h = bucket[fresh], h[fresh]
+            if len(h):
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                data = [x.tobytes() for x in np.split(h, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(first), pa.string()), pa.array(bucket[first]), pa.array(data, pa.binary())], names=["host", "bucket", "hits"])
+
+    return run
 
 
 def _keyed(buckets: int) -> Callable:
@@ -314,47 +345,26 @@ def _keyed(buckets: int) -> Callable:
     return run
 
 
-def _bucketed(buckets: int) -> Callable:
-    """Repeated hashes as rows beside those of :func:`_keyed`, many pages a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            hosts, data = batch.column("host").to_pylist(), batch.column("hashes").to_pylist()
-            by: dict[tuple, list[int]] = {}
-            for k, b in enumerate((key % np.uint64(buckets)).tolist()):
-                by.setdefault((hosts[k], b), []).append(k)
-            blobs = [np.array([len(v)], np.int64).tobytes() + key[v].tobytes() + np.array([len(data[k]) // 8 for k in v], np.int32).tobytes() + b"".join(data[k] for k in v) for v in by.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.string()), pa.array([k[1] for k in by], pa.int64()), pa.array(blobs, pa.binary())], names=["host", "bucket", "hits"])
-
-    return run
-
-
 def _applier(least: int) -> Callable:
     """Hashes of a host and bucket, which come first, and the pages that they belong to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, hashes, sorted_yet = None, [], [], False
+        now, hashes, wanted = None, [], None
         for batch in batches:
             for host, bucket, n_parts, blob, hits in zip(*(batch.column(c).to_pylist() for c in ("host", "bucket", "parts", "blob", "hits"))):
                 if (host, bucket) != now:
-                    now, keys, hashes, sorted_yet = (host, bucket), [], [], False
+                    now, hashes, wanted = (host, bucket), [], None
                 if hits is not None:
-                    n = int(np.frombuffer(hits, np.int64, 1)[0])
-                    keys.append(np.repeat(np.frombuffer(hits, np.uint64, n, 8), np.frombuffer(hits, np.int32, n, 8 + 8 * n)))
-                    hashes.append(np.frombuffer(hits[8 + 12 * n :], np.uint64))
+                    hashes.append(np.frombuffer(hits, np.uint64))
                     continue
-                if not sorted_yet:
-                    # A page's key and a hash, mixed into one number to look up.
-                    wanted = np.sort(flat.mix(np.concatenate(hashes) ^ flat.mix(np.concatenate(keys), 7))) if keys else np.zeros(0, np.uint64)
-                    sorted_yet = True
+                if wanted is None:
+                    wanted = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
                 ids, texts = _get(blob)
                 s = Streams(texts)
                 at, h = s.window_hashes(least)
                 h = _fingerprint(h // np.uint64(n_parts) & _LOW, h % np.uint64(n_parts))
-                look = flat.mix(h ^ flat.mix(_text_keys(texts), 7)[s.page[at]])
-                place = np.searchsorted(wanted, look)
-                hit = wanted[np.minimum(place, len(wanted) - 1)] == look if len(wanted) else np.zeros(len(look), bool)
+                place = np.searchsorted(wanted, h)
+                hit = wanted[np.minimum(place, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
                 covered = s.cover(at[hit], least)
                 yield from _rows([(i, host, *s.unique_runs(covered, k)) for k, i in enumerate(ids)])
 
@@ -368,27 +378,29 @@ def extract_pages(pages: DataFrame, *, least: int = LEAST, host_bytes: int = HOS
     A page whose URL is null or has no host is compared with none, and its host is null. Null, empty and
     tag-only pages have an empty text. Repeated rows, and pages of equal text, aren't distinct pages and have equal results.
     Null ids are carried; the order of rows and ties don't matter; other columns, whatever their names, play
-    no part; an empty table gives no rows.
+    no part; an empty table gives no rows. Pages of any length are read whole, in linear time.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))).alias("host"), F.col("html").cast("string").alias("html"))
     spark = pages.sparkSession
-    sizes = rows.where("host is not null").groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > host_bytes)
-    parts = sizes.select("host", F.ceil(F.col("bytes") / part_bytes).cast("long").alias("parts"))
-    few = parts.limit(BROADCAST_HOSTS + 1).collect()
+    sizes = cut(rows.where("host is not null").groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")))
+    parts = sizes.where(F.col("bytes") > host_bytes).select("host", F.ceil(F.col("bytes") / part_bytes).cast("long").alias("parts"))
+    total, n_large, n_parts = (x or 0 for x in sizes.join(parts, "host", "left").agg(F.sum("bytes"), F.count("parts"), F.sum("parts")).first())
+    # Tasks grow in number with the bytes, so that what one takes doesn't.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
     out = rows.where("host is null").mapInArrow(_alone, SCHEMA)
-    if len(few) <= BROADCAST_HOSTS:
-        parts = F.broadcast(spark.createDataFrame(few, "host string, parts bigint"))
+    if n_large <= BROADCAST_HOSTS:
+        parts = F.broadcast(parts)
     named = rows.where("host is not null")
-    small = named.join(parts, "host", "left_anti") if few else named
+    small = named.join(parts, "host", "left_anti") if n_large else named
     gathered = small.mapInArrow(_gather, "host string, blob binary")
-    out = out.unionByName(gathered.repartition("host").sortWithinPartitions("host").mapInArrow(_sorter(least), SCHEMA))
-    if few:
+    out = out.unionByName(gathered.repartition(tasks, "host").sortWithinPartitions("host").mapInArrow(_sorter(least), SCHEMA))
+    if n_large:
         large = named.join(parts, "host")
         dealt = large.mapInArrow(_dealer(least), "host string, part bigint, blob binary")
-        hits = dealt.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(_meeting, "host string, key bigint, hashes binary")
-        buckets = max(sum(r["parts"] for r in few), int(spark.conf.get("spark.sql.shuffle.partitions")))
-        back = hits.mapInArrow(_bucketed(buckets), "host string, bucket bigint, hits binary").select("host", "bucket", F.lit(None).cast("bigint").alias("parts"), F.lit(None).cast("binary").alias("blob"), "hits")
+        buckets = max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        hits = dealt.repartition(max(tasks, n_parts), "host", "part").sortWithinPartitions("host", "part").mapInArrow(_meeting(buckets), "host string, bucket bigint, hits binary")
+        back = hits.select("host", "bucket", F.lit(None).cast("bigint").alias("parts"), F.lit(None).cast("binary").alias("blob"), "hits")
         kept = large.mapInArrow(_keyed(buckets), "host string, bucket bigint, parts bigint, blob binary").withColumn("hits", F.lit(None).cast("binary"))
         both = back.unionByName(kept).withColumn("page", F.col("hits").isNull())
-        out = out.unionByName(both.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "page").drop("page").mapInArrow(_applier(least), SCHEMA))
+        out = out.unionByName(both.repartition(tasks, "host", "bucket").sortWithinPartitions("host", "bucket", "page").drop("page").mapInArrow(_applier(least), SCHEMA))
     return out
