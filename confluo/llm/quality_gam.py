@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import flat
+from confluo.llm.labelled import labelled_sample
 from confluo.llm.names import free_name
 
 FEATURES = (
@@ -178,27 +179,20 @@ def fit_gam(x: np.ndarray, y: np.ndarray, *, bins: int = 32, pair_bins: int = 6,
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound: int = 8000) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``bound`` labelled documents, those whose hashed ids are smallest.
 
-    ``bound`` is all that reaches the driver, however many labels there are. Labels that are null, and
-    ids labelled both ways or not among ``docs``, are left out.
+    ``bound`` is the most that reaches the driver, however many labels and repeated documents there are. Labels that are null, and
+    ids labelled both ways or not among ``docs``, are left out and don't count; a repeated id counts once.
     """
-    chosen = (
-        labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
-        .where("__id is not null and __y in (0, 1)")
-        .groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z")
-        .orderBy(F.xxhash64("__id"), "__id").limit(bound).select("__id", "__y")
-    )
-    # The sample has at most `bound` rows of 12 bytes, so broadcasting it is of a fixed size.
-    joined = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(chosen), "__id")
+    chosen = labelled_sample(docs, labels, label, F.col("y").isin(0, 1), bound)
 
     @F.arrow_udf("array<double>")
     def vector(texts: pa.Array) -> pa.Array:
         x = features(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
-    rows = joined.select("__id", "__y", vector("__text").alias("__x")).toArrow()
-    order = np.lexsort((rows["__y"].to_numpy(), rows["__id"].to_numpy())) if rows.num_rows else []
-    x = np.array(rows["__x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
-    y = rows["__y"].to_numpy().astype(float)[order] if rows.num_rows else np.zeros(0)
+    rows = chosen.select("id", "y", vector("text").alias("x")).toArrow()
+    order = np.argsort(rows["id"].to_numpy()) if rows.num_rows else []
+    x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
+    y = rows["y"].to_numpy().astype(float)[order] if rows.num_rows else np.zeros(0)
     return x, y
 
 
@@ -222,7 +216,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, bound: int = 8000, thre
 
     Each row is scored by itself: repeated rows give repeated results and ties need no order. A null or
     empty text has ``p_good`` 0 and isn't kept. A null id is carried. Other columns of ``docs``, whatever
-    their names, play no part. With no usable labels every non-empty text scores 0.5 and is kept.
+    their names, play no part. With no usable labels every non-empty text scores 0.5 and is kept. Texts of any length are read
+    whole.
     """
     udf = scorer(fit_gam(*training_rows(docs, labels, bound=bound)), threshold)
     return docs.select(F.col("doc_id"), udf(F.col("text")).alias("__q")).select("doc_id", F.round("__q.p", 6).alias("p_good"), F.col("__q.keep").alias("keep"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import flat
+from confluo.llm.labelled import labelled_sample
 
 BITS = 20
 GRADES = 3
@@ -164,17 +165,10 @@ def fit_ordinal(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, *, ridge
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = 12_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (text, bucket), labels and word counts of at most ``bound`` labelled documents, those whose hashed ids are smallest.
 
-    ``bound`` is all that reaches the driver, however many labels there are. Labels that are null or negative, and ids
-    labelled in two ways or not among ``docs``, are left out.
+    ``bound`` is the most that reaches the driver, however many labels and repeated documents there are. Labels that are null or negative,
+    and ids labelled in two ways or not among ``docs``, are left out and don't count; a repeated id counts once.
     """
-    chosen = (
-        labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
-        .where("__id is not null and __y >= 0")
-        .groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z")
-        .orderBy(F.xxhash64("__id"), "__id").limit(bound).select("__id", "__y")
-    )
-    # The sample has at most `bound` rows of 12 bytes, so broadcasting it is of a fixed size.
-    joined = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(chosen), "__id")
+    chosen = labelled_sample(docs, labels, label, F.col("y") >= 0, bound)
 
     @F.arrow_udf("struct<n:int,f:array<int>>")
     def vector(texts: pa.Array) -> pa.Array:
@@ -182,11 +176,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", b
         at = np.searchsorted(doc, np.arange(len(words) + 1)).astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(words.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], names=["n", "f"])
 
-    rows = joined.select("__id", "__y", vector("__text").alias("__x")).select("__id", "__y", "__x.n", "__x.f").toArrow().combine_chunks()
-    rows = rows.sort_by([("__id", "ascending"), ("n", "ascending")])
+    rows = chosen.select("id", "y", vector("text").alias("x")).select("id", "y", "x.n", "x.f").toArrow().combine_chunks()
+    rows = rows.sort_by("id")
     lists = rows["f"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), rows["__y"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 12_000) -> OrdinalModel:
@@ -200,7 +194,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, bound: int = 12_000, t
     ``toxic`` holds where P(grade > 0) is at least ``threshold``. Each row is scored by itself: repeated rows give
     repeated results and ties need no order. Null and empty texts have severity 0 and aren't toxic. A null id is
     carried. Other columns of ``docs``, whatever their names, play no part. With no usable labels nothing is
-    toxic. An empty table gives no rows.
+    toxic. An empty table gives no rows. Texts of any length are read whole.
     """
     model = fit(docs, labels, bound=bound)
     used = np.flatnonzero(model.weights)
