@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Loops and repeated edges are allowed; edges with a null end are ignored. A node that only has a loop
     is its own component. Each round is written to the shared checkpoint folder.
     """
-    given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
+    # It is read twice, and what it comes from may be costly.
+    given = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna())
     e = cut(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
