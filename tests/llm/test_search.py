@@ -31,9 +31,10 @@ def test_fold_and_words():
 @given(st.lists(st.text("ab ", max_size=40), max_size=8), st.lists(st.text("ab ", min_size=3, max_size=30), min_size=1, max_size=4))
 @settings(max_examples=60, deadline=None)
 def test_wu_manber_equals_find(texts, items):
-    found = wu_manber.patterns_of(list(range(len(items))), pa.array(items), words=2, least=2)
-    patterns = list(found)
-    docs, pats = wu_manber._matches(pa.array(texts, pa.string()), wu_manber.WuManber(patterns))
+    found = wu_manber.Patterns(list(range(len(items))), pa.array(items), words=2, least=2)
+    patterns = [bytes(found.text[a : a + n]) for a, n in zip(found.start, found.size)]
+    assert len(set(patterns)) == len(patterns)
+    docs, pats = wu_manber._matches(pa.array(texts, pa.string()), wu_manber.WuManber(found))
     got = sorted(zip(docs.tolist(), pats.tolist()))
     expect = []
     for d, t in enumerate(texts):
