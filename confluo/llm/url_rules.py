@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Kinds of pages that no corpus wants: advertising, tracking, affiliate links, adult content, gambling, pills, malware, and pages without text of their own.
 DEFAULT_RULES = (
-    "||spam-farm.*^", "||cheap-pills.*^", "||adult.*^", "||adult-*.*^", "||casino-win.*^", "||casino.*^", "||free-bets.*^", "||ads-track.*^",
-    "||ads.*^", "||track.*^", "||doubleclick.net^", "/porn/*", "/xxx/*", "-casino.*^", "^win-casino.*^", "^bets-free.*^", "/adserver/*",
-    "&affiliate=*", "?affiliate=*", "||malware.*^", "||phishing.*^", "@@||casino.*/en/*?ref=x", "@@||spam-farm.*/robots.txt|",
+    "||ads.*^", "||adserver.*^", "||adservice.*^", "||doubleclick.net^", "||track.*^", "||tracking.*^", "||telemetry.*^", "/adserver/*", "/ads/*", "/banner-ads/*", "?affiliate=*", "&affiliate=*", "?aff_id=*", "&aff_id=*",
+    "||adult.*^", "||porn.*^", "||xxx.*^", "/porn/*", "/xxx/*", "/nsfw/*", "||casino.*^", "-casino.*^", "||casino-*.*^", "||poker.*^", "/casino/*", "||betting.*^", "-bets.*^", "-pills.*^", "/viagra*", "||malware.*^", "||phishing.*^",
+    "/wp-login.php", "/wp-admin/*", "^sessionid=*", "/cgi-bin/*^redirect^", r"/^[a-z]+:\/\/[^\/?#]*(?:porn|casino|viagra)/", "@@/robots.txt|", "@@||*.edu^", "@@||*.gov^",
 )
 _TOKEN = r"[a-z0-9%]{2,}"
 _SEPARATOR = r"(?:[^a-z0-9_.%-]|$)"
@@ -37,6 +38,8 @@ class Rule:
     exception: bool
     regex: str
     tokens: tuple[str, ...]
+    #: What lies between the asterisks; if each is found after the one before, at the first place, the rule matches. That takes linear time.
+    parts: tuple[str, ...]
 
 
 def parse(text: str) -> Rule:
@@ -45,15 +48,19 @@ def parse(text: str) -> Rule:
     if len(body) > 1 and body[0] == body[-1] == "/":
         # Lower-casing would turn \W into \w.
         raw = text[2:] if exception else text
-        return Rule(text, exception, raw[1:-1], ())
+        return Rule(text, exception, raw[1:-1], (), (raw[1:-1],))
     start = end = ""
     if body.startswith("||"):
-        start, body = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?", body[2:]
+        start, body = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*?\.)??", body[2:]
     elif body.startswith("|"):
         start, body = "^", body[1:]
     if body.endswith("|"):
-        end, body = "$", body[:-1]
-    regex = start + "".join(".*" if c == "*" else _SEPARATOR if c == "^" else re.escape(c) for c in body) + end
+        end, body = r"\Z", body[:-1]
+    body = re.sub(r"\*+", "*", body)
+    parts = ["".join(_SEPARATOR if c == "^" else re.escape(c) for c in x) for x in body.split("*")]
+    parts[0] = start + parts[0]
+    parts[-1] += end
+    regex = "(?s)" + ".*".join(parts)
     tokens = []
     for m in re.finditer(_TOKEN, body):
         # "^" separates, so it closes a token; so do an anchor and any other literal. "*" and an open end don't.
@@ -61,12 +68,19 @@ def parse(text: str) -> Rule:
         closed_right = body[m.end()] != "*" if m.end() < len(body) else bool(end)
         if closed_left and closed_right:
             tokens.append(m[0])
-    return Rule(text, exception, regex, tuple(dict.fromkeys(tokens)))
+    return Rule(text, exception, regex, tuple(dict.fromkeys(tokens)), tuple(parts))
 
 
 def parse_all(rules: Sequence[str]) -> list[Rule]:
-    """The rules in their order; empty lines and comments (``!``) are left out."""
-    return [parse(r.strip()) for r in rules if r and r.strip() and not r.strip().startswith("!")]
+    """The rules in their order; nulls, empty lines, comments (``!``) and rules whose expression is no regular expression are left out."""
+    out = []
+    for rule in (parse(r.strip()) for r in rules if r and r.strip() and not r.strip().startswith("!")):
+        try:
+            re.compile(rule.regex, re.ASCII)
+        except re.error:
+            continue
+        out.append(rule)
+    return out
 
 
 def token_counts(urls: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
@@ -97,7 +111,7 @@ def build_index(rules: Sequence[Rule], counts: dict[str, int]) -> tuple[dict[str
 class Matcher:
     def __init__(self, rules: Sequence[Rule], index: dict[str, list[int]], rest: list[int]):
         self.rules, self.index, self.rest = rules, index, rest
-        self.compiled: dict[int, re.Pattern] = {}
+        self.compiled: dict[int, list[re.Pattern]] = {}
         self.runs = 0
         self._tokens = re.compile(_TOKEN).findall
 
@@ -115,9 +129,15 @@ class Matcher:
             if first[side] is None:
                 rx = self.compiled.get(k)
                 if rx is None:
-                    rx = self.compiled[k] = re.compile(self.rules[k].regex, re.ASCII)
+                    rx = self.compiled[k] = [re.compile(p, re.ASCII | re.DOTALL) for p in self.rules[k].parts]
                 self.runs += 1
-                if rx.search(low):
+                at = 0
+                for part in rx:
+                    m = part.search(low, at)
+                    if not m:
+                        break
+                    at = m.end()
+                else:
                     first[side] = k
         return first[0], first[1]
 
@@ -128,7 +148,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[str] = DEFAULT_RULES) -> DataF
     ``rule`` and ``exception`` are the first of their kind that match, in the order of the list; ``blocked`` holds where there is a
     rule and no exception. A null or empty URL matches nothing and isn't blocked. Repeated pages have repeated
     results and null ids are carried. Other columns, whatever their names, play no part. Without rules
-    nothing is blocked; without pages there are no rows.
+    nothing is blocked, and a rule that is no regular expression is as if it weren't there; without pages there are no rows. URLs
+    of any length are read whole.
     """
     parsed = parse_all(rules)
     counts = token_counts(pages.select("url"), sorted({t for r in parsed for t in r.tokens}))
@@ -150,7 +171,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[str] = DEFAULT_RULES) -> DataF
 def oracle(rules: Sequence[str] = DEFAULT_RULES) -> str:
     """DuckDB SQL that tries every rule on every URL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {quote(r.text)}, {str(r.exception).lower()}, {quote(r.regex)})" for k, r in enumerate(parse_all(rules)))
+    rows = ", ".join(f"({k}, {quote(r.text)}, {str(r.exception).lower()}, {quote(r.regex.replace(chr(92) + 'Z', chr(92) + 'z'))})" for k, r in enumerate(parse_all(rules)))
     return f"""
 WITH r(n, text, exception, rx) AS (VALUES {rows}),
 p AS (SELECT row_number() OVER () AS k, page_id, url FROM pages),
