@@ -13,24 +13,27 @@ A key is an 8-byte big-endian number that sorts as the signed id does; the empty
 sorts first. A lookup asks the filter, searches the sparse index by bisection, reads one block (more
 only if a key goes on in the next) and bisects its restarts.
 
-Text is stored as UTF-8 or, given a tokenizer, as token ids (u16, or u32 for larger vocabularies).
+Text is stored as token ids (u16, or u32 for larger vocabularies) or, without a tokenizer, as UTF-8.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm import flat
+from confluo.llm import flat, tokens
 
 MAGIC = 0x53535443464C4F31
 FOOTER = struct.Struct("<QQQQQQQ")  # index offset and size, filter offset and size, entries, blocks, magic
@@ -152,23 +155,28 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Lookups in the bytes of a whole shard."""
+    """Lookups in a shard: its bytes, or an open file that can seek. Of a file the footer, filter and index are read, and then the blocks asked for."""
 
-    def __init__(self, data: bytes):
-        if len(data) < FOOTER.size:
+    def __init__(self, data: bytes | BinaryIO):
+        self.file = io.BytesIO(data) if isinstance(data, bytes) else data
+        size = self.file.seek(0, io.SEEK_END)
+        if size < FOOTER.size:
             raise ValueError("too short for a shard")
-        at, size, filter_at, filter_size, self.entries, self.blocks, magic = FOOTER.unpack(data[-FOOTER.size :])
+        at, size_, filter_at, filter_size, self.entries, self.blocks, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard")
-        self.data, self.filter = data, data[filter_at : filter_at + filter_size]
+        index, self.filter = self._read(at, size_), self._read(filter_at, filter_size)
         entry = struct.Struct("<B8sQQI")
-        rows = [entry.unpack_from(data, at + k * entry.size) for k in range(size // entry.size)]
-        self.index = [(key[:n], offset, length, crc) for n, key, offset, length, crc in rows]
+        self.index = [(key[:n], offset, length, crc) for n, key, offset, length, crc in entry.iter_unpack(index)]
         self.last_keys = [x[0] for x in self.index]
 
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
     def _block(self, k: int) -> tuple[bytes, list[int], int]:
         _, offset, length, crc = self.index[k]
-        data = self.data[offset : offset + length]
+        data = self._read(offset, length)
         if zlib.crc32(data) != crc:
             raise ValueError(f"block {k} is damaged")
         raw = zstandard.ZstdDecompressor().decompress(data)
@@ -210,24 +218,12 @@ class ShardReader:
                 yield id_of(key), value
 
 
-_tokenizers: dict = {}
-
-
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _tokenizer(path: str) -> tokens.Encoder:
+    return tokens.encoder(tokens.read_tokenizer(path))
 
-        t = _tokenizers[path] = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-    return _tokenizers[path]
 
-
-def encode_value(text: bytes | None, rest: bytes, token_path: str | None = None) -> bytes:
-    """A document's value: its text, by a length that tells null from empty, then its other columns as JSON."""
-    if text is not None and token_path:
-        t = _tokenizer(token_path)
-        text = np.array(t.encode(text.decode(), add_special_tokens=False).ids, "<u2" if t.get_vocab_size() <= 65536 else "<u4").tobytes()
+def encode_value(text: bytes | None, rest: bytes) -> bytes:
+    """A document's value: its text (or its token ids), by a length that tells null from empty, then its other columns as JSON."""
     return (_varint(0) if text is None else _varint(len(text) + 1) + text) + rest
 
 
@@ -238,7 +234,7 @@ def decode_value(value: bytes, token_path: str | None = None) -> tuple[str | np.
     if n == 0:
         return None, rest
     if token_path:
-        return np.frombuffer(text, "<u2" if _tokenizer(token_path).get_vocab_size() <= 65536 else "<u4"), rest
+        return np.frombuffer(text, _tokenizer(token_path).dtype), rest
     return text.decode(), rest
 
 
@@ -248,13 +244,24 @@ def build_shards(docs: DataFrame, *, shard_docs: int = SHARD_DOCS, block_bytes:
     Documents are split into ranges of ``doc_id`` of about ``shard_docs`` rows each and sorted in them, so a shard
     is found by its first and last id. Every row is stored. Rows of one id are stored side by side, in the order
     of their content. A null id is stored under the empty key, null and empty texts as such. All other
-    columns, whatever their names, are stored with the text as a JSON object. An empty table gives no rows.
+    columns, whatever their names, are stored with the text as a JSON object. An empty table gives no rows. Texts of any
+    length are stored whole. ``tokenizer`` is the path of a tokenizer file that the driver can read; its content is broadcast.
     """
     shards = -(-docs.select("doc_id").count() // shard_docs) or 1
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("{}")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
 
+    sent = tokens.send(docs.sparkSession, tokenizer) if tokenizer else None
+
+    def stored(texts: pa.Array) -> list[bytes | None]:
+        """What stands for each text of a batch."""
+        if sent is None:
+            return texts.cast(pa.large_binary()).to_pylist()
+        ids, at = tokens.encoder(sent.value).encode(texts)
+        raw, at = ids.tobytes(), (at * ids.itemsize).tolist()
+        return [raw[a:b] if there else None for a, b, there in zip(at, at[1:], texts.is_valid().to_pylist())]
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -268,10 +275,9 @@ def build_shards(docs: DataFrame, *, shard_docs: int = SHARD_DOCS, block_bytes:
         some = False
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            texts, more = (batch.column(k).cast(pa.large_binary()) for k in ("text", "rest"))
-            for doc_id, text, extra in zip(ids, texts, more):
+            for doc_id, text, extra in zip(ids, stored(batch.column("text")), batch.column("rest").cast(pa.large_binary()).to_pylist()):
                 some = True
-                part = writer.add(doc_id, encode_value(text.as_py(), extra.as_py(), tokenizer))
+                part = writer.add(doc_id, encode_value(text, extra))
                 if part:
                     done.append(part)
                     held += len(part[-1])
@@ -284,34 +290,46 @@ def build_shards(docs: DataFrame, *, shard_docs: int = SHARD_DOCS, block_bytes:
     return rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text", "rest").mapInArrow(write, SCHEMA)
 
 
+def _open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder (a path, or a URI such as hdfs://, s3:// or file://) and the path in it."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
 def save_shards(parts: DataFrame, folder: str) -> None:
-    """Write each shard to ``folder``, which all executors share, as ``shard-NNNNN.sst``.
+    """Write each shard to ``folder``, which all executors share (a path or a URI), as ``shard-NNNNN.sst``.
 
-    A task writes under a name of its own and renames the file when it is whole, so a task that runs again replaces
+    A task writes under a name of its own and moves the file when it is whole, so a task that runs again replaces
     its file by the same one. ``parts`` comes from :func:`build_shards`, each shard in one partition.
     """
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
+        system, root = _open_folder(folder)
+        system.create_dir(root, recursive=True)
         out, shard, name = None, None, ""
+
+        def close() -> None:
+            out.close()
+            system.move(name, f"{root}/shard-{shard:05d}.sst")
+
         for batch in batches:
             for s, payload in zip(batch.column("shard").to_pylist(), batch.column("payload")):
                 if s != shard:
                     if out:
-                        out.close()
-                        os.replace(name, f"{folder}/shard-{shard:05d}.sst")
-                    shard, name = s, f"{folder}/.shard-{s:05d}.{TaskContext.get().taskAttemptId()}"
-                    out = open(name, "wb")  # noqa: SIM115
+                        close()
+                    shard, name = s, f"{root}/.shard-{s:05d}.{TaskContext.get().taskAttemptId()}"
+                    out = system.open_output_stream(name)
                 out.write(payload.as_py())
         if out:
-            out.close()
-            os.replace(name, f"{folder}/shard-{shard:05d}.sst")
+            close()
         yield from ()
 
     parts.select("shard", "payload").mapInArrow(save, "done int").count()
 
 
 def read_shards(folder: str) -> list[ShardReader]:
-    return [ShardReader(open(f"{folder}/{n}", "rb").read()) for n in sorted(os.listdir(folder)) if n.endswith(".sst")]  # noqa: SIM115
+    """Readers of the shards of a folder, in order. Blocks are read when they are asked for."""
+    system, root = _open_folder(folder)
+    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".sst"))
+    return [ShardReader(system.open_input_file(n)) for n in names]
