@@ -41,7 +41,7 @@ def op7_pack_sos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value in a credential's place, with its guess cost."""
-    return secret_guess.scan_secrets(_table(spark, sf_dir, "documents"))
+    return secret_guess.scan_secrets(_table(spark, sf_dir, "documents"), tokenizer=default_tokenizer(spark))
 
 
 def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,21 +3,27 @@
 What stands where a credential would (after ``token =``, ``password:``, ``Bearer``, between ``://user:`` and
 ``@``, in a PEM private key) is a secret if guessing it is dear. Its cost is the least sum of log10 guesses over all
 ways of cutting it into dictionary words (also with capitals or digits for letters), dates, repeats,
-keyboard walks, runs of letters or digits in order, and brute-force characters. A dynamic programme over
+keyboard walks, runs of letters or digits in order, references to a value that is elsewhere (``${NAME}``, ``<name>``, a call),
+and brute-force characters. The dictionary is a short list of common passwords, followed by the whole words of a public tokenizer's
+vocabulary in the order of their ids, which is about that of their frequency. A dynamic programme over
 the ends of segments finds it; walks and runs grow by one step at a time, so the time is
 linear in the length of the value.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
 import re
 import unicodedata
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confluo.llm import tokens
 from confluo.llm.names import free_name
 
 THRESHOLD = 10.0
@@ -34,7 +40,6 @@ internet service system account data cloud orange purple silver yellow green bla
 correct horse battery staple coffee cookie chocolate cheese pepper ginger tiger eagle falcon hunter killer soccer hockey
 january february march april june july august september october november december monday tuesday friday sunday""".split()
 RANK = {w: k + 1 for k, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, RANK))
 _LEET = str.maketrans("4@830!1$57", "aabeoiisst")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEYS = {c: (x + 0.25 * r * (r > 0) + 0.25 * (r > 0), r) for r, row in enumerate(_ROWS) for x, c in enumerate(row)}
@@ -54,19 +59,42 @@ _CONTEXT = re.compile(
 _HINT = r"(?i)pass|pwd|secret|token|key|credential|auth|bearer|://[^\s/@:]*:[^\s/@]*@"
 
 
+#: A reference names a value, and a placeholder asks for one; a guesser tries the usual ones.
+REFERENCE = 3.0
+_TEMPLATE = re.compile(r"\$\{[^{}]*\}|\{\{[^{}]*\}\}|\$\([^()]*\)|<[A-Za-z][\w .:-]*>|%[A-Za-z_]\w*%|\$[A-Z][A-Z0-9_]{2,}")
+_CALL = re.compile(r"(?a)[A-Za-z_]+(?:\.[A-Za-z_]+)*(?:[\[(]|\([\w., ]*\)|\[[\w., ]*\])[)\];,.]*\Z")
+_JOINED = re.compile(r"(?a)[A-Za-z]+(?:[-_ .][A-Za-z]+)*\Z")
+_CUES = frozenset("your my example sample placeholder dummy fake insert enter replace changeme change todo here redacted hidden".split())
+
+
 #: A word of prose has at most so many letters.
 _PROSE = 20
 #: Consonants that come after a consonant in words of European languages.
 _FOLLOW = {x[0]: x[1:] for x in "bcdjlmprstv chklnqrst dbghjlmnrstvw flrst gdhlmnrst hlmnrtw j klnrstw lbcdfghkmnpstvwz mbflnpst nbcdfghjklmpqrstvwxz pcfhlmnrst q rbcdfghjklmnpqstvwz sbcdfghklmnpqrtw tbcfghlmnprswz vr wdhklmnrst xcfhpt zltw".split()}
 
 
-def _word_cost(piece: str) -> float | None:
+def dictionary(tokenizer: bytes | None) -> dict[str, int]:
+    """The rank of each word: common passwords, then the words of letters alone, of three or more, that a vocabulary of byte ranks has whole.
+
+    It has as many entries as the vocabulary at most. Without one, or with another kind of file, it is the common passwords.
+    """
+    out = dict(RANK)
+    if tokenizer and tokenizer[:1] != b"{":
+        ranked = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, tokenizer.splitlines()))
+        for _, token in ranked:
+            word = token.decode(errors="ignore")
+            if len(word) > 3 and word[0] == " " and word[1:].isalpha():
+                out.setdefault(word[1:].lower(), len(out) + 1)
+    return out
+
+
+def _word_cost(piece: str, words: dict[str, int] = RANK) -> float | None:
     low = piece.lower()
     plain = low.translate(_LEET)
-    rank = RANK.get(low)
+    rank = words.get(low)
     cost = math.log10(rank) if rank else None
-    if plain in RANK and (cost is None or RANK[plain] < rank):
-        other = math.log10(RANK[plain]) + math.log10(2) * (plain != low) * sum(a != b for a, b in zip(plain, low))
+    if plain in words and (cost is None or words[plain] < rank):
+        other = math.log10(words[plain]) + math.log10(2) * (plain != low) * sum(a != b for a, b in zip(plain, low))
         cost = other if cost is None else min(cost, other)
     if cost is None:
         return None
@@ -98,16 +126,28 @@ def _near(a: str, b: str) -> tuple[float, float] | None:
     return d if abs(d[0]) <= 1.01 and abs(d[1]) <= 1 else None
 
 
+_lengths: dict[int, int] = {}
+
+
+def _longest(words: dict[str, int]) -> int:
+    if len(words) not in _lengths:
+        _lengths[len(words)] = max(map(len, words))
+    return _lengths[len(words)]
+
+
 _START_WALK, _STEP_ON, _STEP_TURN = math.log10(47), math.log10(1.2), math.log10(6)
 _START_RUN, _STEP_RUN = math.log10(20), math.log10(1.1)
 
 
-def segments(value: str) -> list[tuple[int, int, float]]:
-    """Words, dates and repeats in a value as (start, end, log10 guesses), apart from brute force, walks and runs."""
-    n, out = len(value), []
+def segments(value: str, words: dict[str, int] = RANK) -> list[tuple[int, int, float]]:
+    """Words, dates, repeats and references in a value as (start, end, log10 guesses), apart from brute force, walks and runs."""
+    n, out = len(value), [(m.start(), m.end(), REFERENCE) for m in _TEMPLATE.finditer(value)]
+    if _JOINED.match(value) and not _CUES.isdisjoint(re.split("[-_ .]", value.lower())):
+        out.append((0, n, REFERENCE))
+    longest = _longest(words)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            cost = _word_cost(value[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            cost = _word_cost(value[i:j], words)
             if cost is not None:
                 out.append((i, j, cost))
         m = _DATE.match(value, i)
@@ -125,18 +165,18 @@ def segments(value: str) -> list[tuple[int, int, float]]:
                 j += 1
             times = (j - i) // unit + 1
             if times >= 2 and times * unit >= 3:
-                word = _word_cost(value[i : i + unit])
+                word = _word_cost(value[i : i + unit], words)
                 base = min(unit * rate, word if word is not None else math.inf)
                 out.append((i, i + times * unit, base + math.log10(times)))
             i = max(j - unit + 1, i + 1) if times >= 2 else j + 1
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: dict[str, int] = RANK) -> float:
     """The least log10 guesses over all segmentations of ``value``; 0 for an empty one."""
     n, rate = len(value), per_character(value)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost in segments(value):
+    for i, j, cost in segments(value, words):
         ending[j].append((i, cost))
     best = [0.0] + [math.inf] * n
     brute, low, inf = [math.inf] * (n + 1), value.lower(), math.inf
@@ -176,21 +216,40 @@ def _prose(value: str) -> bool:
     return m is not None and len(m[1]) <= _PROSE and not re.search(r"[a-z][A-Z]", m[1]) and _wordlike(m[1])
 
 
-def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float, bool]]:
+def findings(text: str, threshold: float = THRESHOLD, words: dict[str, int] = RANK) -> list[tuple[int, int, str, float, bool]]:
     """(start, end, context, log10 guesses, whether it is a secret) of each value in a credential's place."""
     out = []
     for m in _CONTEXT.finditer(text):
         kind = m.lastgroup
         value = m[kind]
         bare = "".join(value.split()) if kind == "pem" else value
-        cost = guess_cost(bare)
+        cost = guess_cost(bare, words)
+        if kind == "bare" and _CALL.match(bare):
+            cost = min(cost, REFERENCE)
         out.append((m.start(kind), m.end(kind), kind, round(cost, 4), cost >= threshold and not (kind == "bare" and _prose(bare))))
     return out
 
 
-def _finder(threshold: float):
+_known: dict[bytes, dict[str, int]] = {}
+
+
+def _send(docs: DataFrame, tokenizer: str | None) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(tokens.read_tokenizer(tokenizer) if tokenizer else b"")
+
+
+def _words(sent: Broadcast) -> dict[str, int]:
+    """The dictionary that a worker keeps."""
+    key = hashlib.blake2b(sent.value).digest()
+    if key not in _known:
+        _known.clear()
+        _known[key] = dictionary(sent.value)
+    return _known[key]
+
+
+def _finder(threshold: float, sent: Broadcast):
     def find(texts: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("start", "stop", "context", "log10_guesses", "secret"), f)) for f in findings(t, threshold)] if t else None for t in texts.to_pylist()]
+        words = _words(sent)
+        rows = [[dict(zip(("start", "stop", "context", "log10_guesses", "secret"), f)) for f in findings(t, threshold, words)] if t else None for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("context", pa.string()), ("log10_guesses", pa.float64()), ("secret", pa.bool_())])))
 
     find.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -201,29 +260,32 @@ def _hinted(text: Column) -> Column:
     return F.when(text.rlike(_HINT), text)
 
 
-def scan_secrets(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, threshold: float = THRESHOLD, tokenizer: str | None = None) -> DataFrame:
     """A row for each value in a credential's place: ``doc_id``, ``start`` and ``stop`` in characters, ``context``,
     ``log10_guesses`` and ``secret`` (guessing takes at least 10**threshold tries). The value itself isn't shown.
 
     Null, empty and other texts without such a place give no rows; repeated documents give repeated rows; null ids
-    are carried. Values are taken whole, however long. Other columns play no part.
+    are carried. Values of six characters or more are taken, whole, however long; shorter ASCII ones can't reach the
+    threshold. ``tokenizer`` is the path of a vocabulary that the dictionary is taken from. Other columns play no part.
     """
-    udf = _finder(threshold)
+    udf = _finder(threshold, _send(docs, tokenizer))
     hits = docs.select(F.col("doc_id"), F.col("text").alias("__t")).where(F.col("__t").rlike(_HINT)).select("doc_id", udf(F.col("__t")).alias("__f"))
     return hits.where(F.size("__f") > 0).select("doc_id", F.explode("__f").alias("__f")).select("doc_id", "__f.*")
 
 
-def redact_secrets(docs: DataFrame, *, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, *, threshold: float = THRESHOLD, mark: str = "[SECRET]", tokenizer: str | None = None) -> DataFrame:
     """``docs`` with each secret of :func:`scan_secrets` in ``text`` replaced by ``mark``; every row stays.
 
     ``n_chars``, where there is one, becomes the new length of a changed text. Other texts, null and
     empty ones among them, and all other columns stay as they were.
     """
 
+    sent = _send(docs, tokenizer)
+
     def clean(texts: pa.Array) -> pa.Array:
-        out = []
+        out, words = [], _words(sent)
         for t in texts.to_pylist():
-            spans = [f for f in findings(t, threshold) if f[4]] if t else []
+            spans = [f for f in findings(t, threshold, words) if f[4]] if t else []
             if not spans:
                 out.append(None)
                 continue
