@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.operators.reshape import first_by
+from confluo.session import cut
 
 
 def radius_join(left: DataFrame, right: DataFrame, x: str, radius: float, *, left_id: str, right_id: str, y: str | None = None) -> DataFrame:
@@ -90,6 +93,64 @@ def in_polygon(x: Column | str, y: Column | str, ring: list[tuple[float, float]]
     return crossings % 2 == 1
 
 
+def nearest_point(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, x: str = "x", y: str = "y", step: float) -> DataFrame:
+    """For each point of ``left`` the nearest of ``right``, as ``left_id``, ``right_id`` and ``distance``; of equally near ones the least id.
+
+    Points meet in the cell that they are in and the eight around it. What is found within a cell's width is the nearest; the rest is searched again in cells
+    of twice the width, until all of ``right`` lies in nine cells. Points without coordinates have no result.
+    """
+    keep = lambda df, i, side: df.select(F.col(i).alias(f"{side}_id"), F.col(x).cast("double").alias(f"__{side}x"), F.col(y).cast("double").alias(f"__{side}y")).dropna()
+    todo, points = cut(keep(left, left_id, "left").distinct()), cut(keep(right, right_id, "right"))
+    ends = points.agg(F.max("__rightx") - F.min("__rightx"), F.max("__righty") - F.min("__righty")).first()
+    far = todo.agg(F.max(F.abs("__leftx")), F.max(F.abs("__lefty"))).first()
+    reach = points.agg(F.max(F.abs("__rightx")), F.max(F.abs("__righty"))).first()
+    if ends[0] is None or far[0] is None:
+        return todo.join(points.select("right_id"), F.lit(False)).select("left_id", "right_id", F.lit(0.0).alias("distance"))
+    widest = 2 * max(far[0] + reach[0], far[1] + reach[1], step)
+    found: list[DataFrame] = []
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    while True:
+        a = todo
+        for k in "xy":
+            a = a.withColumn(f"__c{k}", F.explode(F.transform(around, _plus(F.floor(F.col(f"__left{k}") / step)))))
+        b = points.select("*", F.floor(F.col("__rightx") / step).alias("__cx"), F.floor(F.col("__righty") / step).alias("__cy"))
+        distance = F.hypot(F.col("__leftx") - F.col("__rightx"), F.col("__lefty") - F.col("__righty"))
+        # A least struct is found before the shuffle, so that a full cell sends a row a point and task.
+        near = a.join(b, ["__cx", "__cy"]).groupBy("left_id").agg(F.min(F.struct(distance.alias("distance"), "right_id")).alias("__n"))
+        near = cut(near.select("left_id", "__n.right_id", "__n.distance").where(F.col("distance") <= F.lit(step if step < widest else float("inf"))))
+        found.append(near)
+        if step >= widest:
+            break
+        todo = cut(todo.join(near, "left_id", "left_anti"))
+        if todo.isEmpty():
+            break
+        step = min(2 * step, widest)
+    return reduce(DataFrame.unionByName, found)
+
+
+def polygon_join(points: DataFrame, polygons: DataFrame, *, point_id: str, polygon_id: str, ring: str, x: str = "x", y: str = "y", step: float) -> DataFrame:
+    """Pairs ``point_id``, ``polygon_id`` of the points that lie in polygons, whose ``ring`` is an array of points (arrays of two numbers).
+
+    Both meet in cells of ``step``, of which a polygon takes all that its box covers; a ray then counts the edges that it crosses. Points or rings that are null are in none.
+    """
+    corner = lambda k: F.transform(F.col(ring), lambda p: p[k].cast("double"))
+    boxed = polygons.where(F.col(ring).isNotNull() & (F.size(ring) > 2)).select(F.col(polygon_id).alias("__g"), F.col(ring).alias("__r"), *[f(corner(k)).alias(f"__{n}{k}") for k in (0, 1) for n, f in (("a", F.array_min), ("b", F.array_max))])
+    for k in (0, 1):
+        boxed = boxed.withColumn(f"__c{k}", F.explode(F.sequence(F.floor(F.col(f"__a{k}") / step), F.floor(F.col(f"__b{k}") / step))))
+    p = points.select(F.col(point_id).alias("__p"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna(subset=["__x", "__y"])
+    p = p.select("*", F.floor(F.col("__x") / step).alias("__c0"), F.floor(F.col("__y") / step).alias("__c1"))
+    px, py = F.col("__x"), F.col("__y")
+
+    def crosses(a: Column, b: Column) -> Column:
+        straddles = (py < a[1]) != (py < b[1])
+        return F.when(straddles, (px < (b[0] - a[0]) * (py - a[1]) / F.nullif(b[1] - a[1], F.lit(0.0)) + a[0]).cast("int")).otherwise(0)
+
+    r = F.col("__r")
+    edges = F.zip_with(r, F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1)), crosses)
+    inside = F.aggregate(edges, F.lit(0), lambda s, e: s + e) % 2 == 1
+    return p.join(boxed, ["__c0", "__c1"]).where(px.between(F.col("__a0"), F.col("__b0")) & py.between(F.col("__a1"), F.col("__b1"))).where(inside).select(F.col("__p").alias("point_id"), F.col("__g").alias("polygon_id"))
+
+
 def grid_cell(value: Column | str, start: float, step: float) -> Column:
     """Number of the nearest point of a regular grid; halves go up."""
     c = F.col(value) if isinstance(value, str) else value
@@ -119,6 +180,20 @@ def pending_stations(stations: DataFrame, history: DataFrame | None, archives: D
     return left if tried is None else left.join(tried.where("ok = 1") if mode == "default" else tried, "station_code", "left_anti")
 
 
+def fetch_states(stations: DataFrame, history: DataFrame, archives: DataFrame, mode: str = "default") -> DataFrame:
+    """``station_code``, ``state`` and ``attempt`` (whether ``mode`` tries it) of every station.
+
+    A station has ``succeeded`` if an attempt did, else is ``archived`` if a file of it is there, else has ``failed`` if it was tried, else is ``new``.
+    """
+    code = F.col("station_code").cast("string").alias("station_code")
+    tried = history.select(code, F.coalesce(F.col("success").cast("boolean"), F.lit(False)).alias("ok")).groupBy("station_code").agg(F.bool_or("ok").alias("__ok"))
+    filed = archives.select(F.regexp_extract("filename", r"^(\d+)_", 1).alias("station_code")).distinct().withColumn("__filed", F.lit(True))
+    asked = pending_stations(stations, history, archives, mode).distinct().withColumn("__asked", F.lit(True))
+    joined = stations.select(code).join(tried, "station_code", "left").join(filed, "station_code", "left").join(asked, "station_code", "left")
+    state = F.when(F.col("__ok"), "succeeded").when(F.col("__filed"), "archived").when(F.col("__ok").isNotNull(), "failed").otherwise("new")
+    return joined.select("station_code", state.alias("state"), F.coalesce("__asked", F.lit(False)).alias("attempt"))
+
+
 def merge_attempts(log: DataFrame, station: str = "station_code", at: str = "attempted_at") -> DataFrame:
     """One row a station: attempts added up, and the status and error of the last."""
     last = F.max_by(F.struct("status", "last_error"), F.struct(F.col(at), F.col("run_id")))

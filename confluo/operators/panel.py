@@ -76,6 +76,34 @@ def census_municipality(state: str = "state", municipality: str = "municipality"
     return F.when(F.col(year) == 2010, F.col(state).cast("long") * 100_000 + F.col(municipality).cast("long")).otherwise(F.col(municipality).cast("long"))
 
 
+def census_rows(rows: DataFrame, *, labels: dict[str, tuple[str, dict, str]], came_from: dict[str, str], unknown: Sequence[int] = (9_999_999, 999_999, 0), **names: str) -> DataFrame:
+    """Census rows with seven-digit municipalities, codes of places that people came from, and labels instead of codes.
+
+    ``labels`` says for a coded column the new column, the label of each code, and the label of all others; ``came_from`` the new
+    column of a code of origin, in which the codes of ``unknown`` are null.
+    """
+    from confluo.functions.text import lookup
+
+    out = rows.withColumn(names.get("municipality", "municipality"), census_municipality(**names))
+    out = out.withColumns({new: F.when(~F.col(c).isin(list(unknown)), F.col(c).cast("long")) for c, new in came_from.items()})
+    return out.withColumns({new: lookup(F.col(c).cast("int"), table, other) for c, (new, table, other) in labels.items()})
+
+
+def zonal_mean(pixels: DataFrame, zones: DataFrame, value: str, *, zone: str = "zone", x: str = "x", y: str = "y", step: float = 1.0) -> DataFrame:
+    """Mean of a value over the pixels of each zone (``pixels`` has ``zone``); a zone without any takes the pixel nearest to its centre.
+
+    ``zones`` has a row a zone with the centre ``x`` and ``y``. Nearest pixels are searched for zones without pixels alone, by grid rings of ``step``.
+    """
+    from confluo.operators.matching import nearest_point
+
+    means = pixels.where(F.col(zone).isNotNull()).groupBy(zone).agg(F.avg(value).alias("__mean"))
+    joined = zones.select(zone, x, y).join(means, zone, "left")
+    lacking = joined.where("__mean is null").select(zone, x, y)
+    points = pixels.where(F.col(value).isNotNull()).withColumn("__p", F.xxhash64(x, y)).groupBy("__p", x, y).agg(F.avg(value).alias("__v"))
+    near = nearest_point(lacking, points, left_id=zone, right_id="__p", x=x, y=y, step=step).join(points.select(F.col("__p").alias("right_id"), "__v"), "right_id").select(F.col("left_id").alias(zone), "__v")
+    return joined.join(near, zone, "left").select(zone, F.coalesce("__mean", "__v").alias(value))
+
+
 def grid_boxes(spark, box: tuple[float, float, float, float], size: float) -> DataFrame:
     """Boxes of ``size`` that cover (least x, least y, most x, most y), with their place in the grid."""
     import math

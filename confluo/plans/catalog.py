@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.plans import cleaning, estimates, joins, networks, panels, relational, text  # noqa: F401  (they register their queries)
+from confluo.plans import cleaning, estimates, files, joins, networks, panels, relational, text  # noqa: F401  (they register their queries)
 from confluo.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "upstream_bucket_assembly"

@@ -46,25 +46,42 @@ def checked_and_semi_joins(t: Tables) -> DataFrame:
     return guards.checked_join(j, t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), ["l_suppkey"], "inner", "many_to_one").select("l_orderkey", "l_linenumber", "p_type", "s_name")
 
 
-def _fetch(t: Tables, mode: str) -> DataFrame:
+def _fetch_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Urgent orders are attempts, so that some stations have had none."""
     stations = t.customer.select(F.col("c_custkey").alias("station_code"))
-    history = t.orders.select(F.col("o_custkey").alias("station_code"), (F.col("o_orderstatus") == "F").alias("success"))
+    history = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("station_code"), (F.col("o_orderstatus") == "F").alias("success"))
     archives = t.supplier.select(F.concat(F.col("s_suppkey").cast("string"), F.lit("_archive.zip")).alias("filename"))
-    return matching.pending_stations(stations, history, archives, mode)
+    return stations, history, archives
+
+
+def _fetch(t: Tables, mode: str) -> DataFrame:
+    return matching.pending_stations(*_fetch_tables(t), mode)
 
 
 _STATIONS = "SELECT CAST(c_custkey AS VARCHAR) AS station_code FROM customer"
-_OK = "c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
+_TRIED = "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"
+_OK = f"c_custkey NOT IN ({_TRIED} AND o_orderstatus = 'F')"
 _ARCHIVED = "c_custkey NOT IN (SELECT s_suppkey FROM supplier)"
 for _mode, _where in {
     "default": f"WHERE {_OK} AND {_ARCHIVED}",
-    "missing-only": f"WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND {_ARCHIVED}",
-    "retry-failed": f"WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F') AND {_OK}",
+    "missing-only": f"WHERE c_custkey NOT IN ({_TRIED}) AND {_ARCHIVED}",
+    "retry-failed": f"WHERE c_custkey IN ({_TRIED} AND o_orderstatus <> 'F') AND {_OK}",
     "redownload-all": "",
 }.items():
     query(f"{_STATIONS} {_where}", f"anti_join_pending_{_mode.replace('-', '_')}")(lambda t, mode=_mode: _fetch(t, mode))
 
 
+@query(f"""
+WITH h AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS ok FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS station_code, CASE WHEN h.ok THEN 'succeeded' WHEN s_suppkey IS NOT NULL THEN 'archived' WHEN h.ok IS NOT NULL THEN 'failed' ELSE 'new' END AS state,
+NOT coalesce(h.ok, false) AND s_suppkey IS NULL AS attempt FROM customer LEFT JOIN h ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey
+""")
+def fetch_states(t: Tables) -> DataFrame:
+    """What is known of each station, and whether it is tried by default."""
+    stations, history, archives = _fetch_tables(t)
+    return matching.fetch_states(stations, history, archives)
+
+
 @query("""
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS station_code, event_id AS run_id, ts AS attempted_at, 1 + event_id % 3 AS attempts, event_type AS status, CASE WHEN value < 10 THEN 'slow' END AS last_error FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY station_code ORDER BY attempted_at DESC, run_id DESC) AS k, sum(attempts) OVER (PARTITION BY station_code) AS total FROM e)
@@ -114,6 +131,35 @@ def point_in_polygon(t: Tables) -> DataFrame:
     return t.customer.where(matching.in_polygon("c_acctbal", "c_nationkey", [(0.0, 0.0), (4000.0, 20.0), (9000.0, 0.0)])).select("c_custkey")
 
 
+@query("""
+WITH d AS (SELECT s_suppkey AS left_id, c_custkey AS right_id, sqrt(pow(s_acctbal - c_acctbal, 2) + pow(s_nationkey * 100 - c_nationkey * 100, 2)) AS distance FROM supplier, customer)
+SELECT left_id, right_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) AS k FROM d) WHERE k = 1
+""")
+def nearest_point_join(t: Tables) -> DataFrame:
+    """The customer nearest to each supplier in a plane, without a key that they share."""
+    a = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100).alias("y"))
+    b = t.customer.select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100).alias("y"))
+    return matching.nearest_point(a, b, left_id="s_suppkey", right_id="c_custkey", step=20.0).withColumn("distance", F.round("distance", 6))
+
+
+_RINGS = """
+g AS (SELECT n_nationkey AS id, n_nationkey * 300.0::DOUBLE AS x, (n_nationkey % 5) * 4.0::DOUBLE AS y FROM nation),
+e AS (SELECT id, unnest([[x, y, x + 900, y + 2], [x + 900, y + 2, x + 400, y + 9], [x + 400, y + 9, x + 500, y + 4], [x + 500, y + 4, x, y]]) AS s FROM g)
+"""
+
+
+@query(f"""
+WITH {_RINGS}, c AS (SELECT c_custkey, id, count(*) FILTER ((c_nationkey < s[2]) <> (c_nationkey < s[4]) AND c_acctbal < (s[3] - s[1]) * (c_nationkey - s[2]) / nullif(s[4] - s[2], 0) + s[1]) AS n FROM customer, e GROUP BY ALL)
+SELECT c_custkey AS point_id, id AS polygon_id FROM c WHERE n % 2 = 1
+""")
+def points_in_polygons(t: Tables) -> DataFrame:
+    """Which of many polygons, that aren't convex and overlap, each customer lies in."""
+    x, y = F.col("n_nationkey") * 300.0, (F.col("n_nationkey") % 5) * 4.0
+    ring = F.array(*[F.array(x + a, y + b) for a, b in ((0, 0), (900, 2), (400, 9), (500, 4))])
+    points = t.customer.select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("y"))
+    return matching.polygon_join(points, t.nation.select("n_nationkey", ring.alias("ring")), point_id="c_custkey", polygon_id="n_nationkey", ring="ring", step=100.0)
+
+
 @query("""
 WITH b AS (SELECT o_custkey AS id, min(o_totalprice) AS x0, max(o_totalprice) AS x1, CAST(min(o_orderkey) AS DOUBLE) AS y0, CAST(max(o_orderkey) AS DOUBLE) AS y1 FROM orders GROUP BY 1)
 SELECT a.id AS left_id, b.id AS right_id FROM b a JOIN b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
