@@ -11,7 +11,7 @@ inclusion and exclusion, each with the factor of its own G.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.functions.student import p_value, quantile
-from confluo.session import cut
+from confluo.session import cut, free_name
 
 
 @dataclass
@@ -130,7 +130,8 @@ def fit(y: np.ndarray, x: np.ndarray, names: Sequence[str], fes: Sequence[np.nda
     bread = np.linalg.inv(fitted.T @ fitted)
     beta = bread @ (fitted.T @ y_)
     scores = fitted * (y_ - actual @ beta)[:, None]
-    nested = [any(all(len(np.unique(c[codes == g])) == 1 for g in range(codes.max() + 1)) for c in clusters) for codes in map(_codes, fes)]
+    # A fixed effect is nested in clusters if it has as many levels alone as together with them.
+    nested = [any(len(np.unique(codes * (int(c.max()) + 1) + c)) == codes.max() + 1 for c in clusters) for codes in map(_codes, fes)]
     k = len(used) + 1 + sum(len(np.unique(f)) - 1 for f, inside in zip(fes, nested) if not inside)
     variance, least = np.zeros((len(used), len(used))), None
     for subset in _subsets(len(clusters)):
@@ -150,8 +151,9 @@ def demean_columns(df: DataFrame, values: Sequence[str], fes: Sequence[str], *,
     """
     def once(d: DataFrame) -> DataFrame:
         for f in fes:
-            means = d.groupBy(f).agg(*[F.avg(v).alias(f"__m_{v}") for v in values])
-            d = d.join(means, f).select(*[c for c in d.columns if c not in values], *[(F.col(v) - F.col(f"__m_{v}")).alias(v) for v in values])
+            mean = {v: free_name(d, f"__confluo_{v}") for v in values}
+            means = d.groupBy(f).agg(*[F.avg(v).alias(m) for v, m in mean.items()])
+            d = d.join(means, f).select(*[c for c in d.columns if c not in values], *[(F.col(v) - F.col(m)).alias(v) for v, m in mean.items()])
         return d
 
     df = df.withColumns({v: F.col(v).cast("double") for v in values}).dropna(subset=[*values, *fes])
@@ -172,9 +174,9 @@ def _gram(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarra
     return np.array([x or 0.0 for x in row], float).reshape(len(left), len(right))
 
 
-def fe_ols(df: DataFrame, y: str, xs: Sequence[str], fes: Sequence[str], clusters: Sequence[str]) -> Fit:
-    """Fixed-effects least squares of a table of any size. What reaches the driver are sums of products of the regressors."""
-    sample = df.select(*dict.fromkeys([y, *xs, *fes, *clusters])).dropna()
+def complete_sample(df: DataFrame, columns: Sequence[str], fes: Sequence[str]) -> DataFrame:
+    """Complete rows, without levels of a fixed effect that have one row, again and again until there are none."""
+    sample = df.select(*dict.fromkeys(columns)).dropna()
     while fes:
         left = sample
         for f in fes:
@@ -183,6 +185,34 @@ def fe_ols(df: DataFrame, y: str, xs: Sequence[str], fes: Sequence[str], cluster
         if left.count() == sample.count():
             break
         sample = left
+    return sample
+
+
+def _clustered(d: DataFrame, scores: Sequence[Column], bread: np.ndarray, fes: Sequence[str], clusters: Sequence[str], n: int) -> tuple[np.ndarray, int]:
+    """Variance by clusters from the scores of each row, and the number of clusters."""
+    names = [f"__s{k}" for k in range(len(scores))]
+    scored = d.select(*dict.fromkeys(clusters), *[s.alias(x) for s, x in zip(scores, names)])
+    k = len(scores) + 1
+    for f in fes:
+        nested = any(d.select(f, c).distinct().groupBy(f).count().where("count > 1").isEmpty() for c in clusters)
+        k += 0 if nested else d.select(f).distinct().count() - 1
+    variance, least = np.zeros((len(scores), len(scores))), None
+    for subset in _subsets(len(clusters)):
+        sums = cut(scored.groupBy(*[clusters[i] for i in subset]).agg(*[F.sum(s).alias(s) for s in names]))
+        g = sums.count()
+        factor = (g / (g - 1) if g > 1 else np.nan) * (n - 1) / max(n - k, 1)
+        variance += (-1) ** (len(subset) + 1) * factor * bread @ _gram(sums, names, names) @ bread
+        least = g if len(subset) == 1 and (least is None or g < least) else least
+    return variance, least or n
+
+
+def _combined(weights: np.ndarray, columns: Sequence[str]) -> Column:
+    return sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights, columns)), F.lit(0.0))
+
+
+def fe_ols(df: DataFrame, y: str, xs: Sequence[str], fes: Sequence[str], clusters: Sequence[str]) -> Fit:
+    """Fixed-effects least squares of a table of any size. What reaches the driver are sums of products of the regressors."""
+    sample = complete_sample(df, [y, *xs, *fes, *clusters], fes)
     scale = np.diag(_gram(sample, xs, xs))
     d = cut(demean_columns(sample, [y, *xs], fes))
     n = d.count()
@@ -195,18 +225,69 @@ def fe_ols(df: DataFrame, y: str, xs: Sequence[str], fes: Sequence[str], cluster
         raise ValueError("no regressor is left")
     bread = np.linalg.inv(gram[np.ix_(keep, keep)])
     beta = bread @ _gram(d, used, [y]).ravel()
-    residual: Column = F.col(y) - sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, used)), F.lit(0.0))
-    scored = d.withColumns({f"__s{k}": F.col(x) * residual for k, x in enumerate(used)})
-    names = [f"__s{k}" for k in range(len(used))]
-    k = len(used) + 1
-    for f in fes:
-        nested = any(d.groupBy(f).agg(F.countDistinct(c).alias("n")).where("n > 1").isEmpty() for c in clusters)
-        k += 0 if nested else d.select(f).distinct().count() - 1
-    variance, least = np.zeros((len(used), len(used))), None
-    for subset in _subsets(len(clusters)):
-        sums = cut(scored.groupBy(*[clusters[i] for i in subset]).agg(*[F.sum(s).alias(s) for s in names]))
-        g = sums.count()
-        factor = (g / (g - 1) if g > 1 else np.nan) * (n - 1) / max(n - k, 1)
-        variance += (-1) ** (len(subset) + 1) * factor * bread @ _gram(sums, names, names) @ bread
-        least = g if len(subset) == 1 and (least is None or g < least) else least
-    return Fit(used, beta, variance, n, least or n, [xs[j] for j in range(len(xs)) if j not in keep])
+    residual = F.col(y) - _combined(beta, used)
+    variance, clusters_ = _clustered(d, [F.col(x) * residual for x in used], bread, fes, clusters, n)
+    return Fit(used, beta, variance, n, clusters_, [xs[j] for j in range(len(xs)) if j not in keep])
+
+
+def fe_iv(df: DataFrame, y: str, endogenous: str, instruments: Sequence[str], xs: Sequence[str], fes: Sequence[str], clusters: Sequence[str]) -> Fit:
+    """Two-stage least squares with fixed effects of a table of any size; the endogenous regressor comes first.
+
+    Both stages come from one matrix of sums of products of the demeaned columns. The first-stage F compares it with and without the
+    instruments. Instruments that are combinations of others or of ``xs`` are left out.
+    """
+    sample = complete_sample(df, [y, endogenous, *instruments, *xs, *fes, *clusters], fes)
+    columns = [y, endogenous, *xs, *instruments]
+    scale = np.diag(_gram(sample, columns, columns))
+    d = cut(demean_columns(sample, columns, fes))
+    n = d.count()
+    if not n:
+        raise ValueError("no observations are left")
+    all_ = _gram(d, columns, columns)
+    place = {c: k for k, c in enumerate(columns)}
+    pick = lambda a, b: all_[np.ix_([place[x] for x in a], [place[x] for x in b])]
+    outer = [*xs, *instruments]
+    kept = [outer[k] for k in independent(pick(outer, outer), scale[2:])]
+    used_x, used_z = [x for x in xs if x in kept], [z for z in instruments if z in kept]
+    if not used_z:
+        raise ValueError("no instrument is left")
+    first = [*used_x, *used_z]
+    pi = np.linalg.solve(pick(first, first), pick(first, [endogenous])).ravel()
+    e2 = float(pick([endogenous], [endogenous])[0, 0])
+    rest = e2 - pi @ pick(first, [endogenous]).ravel()
+    alone = e2 - (pick([endogenous], used_x) @ np.linalg.solve(pick(used_x, used_x), pick(used_x, [endogenous])))[0, 0] if used_x else e2
+    df_ = n - len(first) - sum(d.select(f).distinct().count() - 1 for f in fes) - bool(fes)
+    f_stat = float((alone - rest) / len(used_z) / max(rest / max(df_, 1), 1e-300))
+    # Fitted regressors are combinations of the first stage's: the endogenous by pi, the others themselves.
+    load = np.column_stack((pi, *[np.eye(len(first))[:, k] for k in range(len(used_x))]))
+    bread = np.linalg.inv(load.T @ pick(first, first) @ load)
+    beta = bread @ (load.T @ pick(first, [y])).ravel()
+    residual = F.col(y) - _combined(beta, [endogenous, *used_x])
+    variance, clusters_ = _clustered(d, [_combined(load[:, k], first) * residual for k in range(load.shape[1])], bread, fes, clusters, n)
+    return Fit([endogenous, *used_x], beta, variance, n, clusters_, [x for x in xs if x not in used_x], f_stat)
+
+
+def with_interactions(df: DataFrame, xs: Sequence[str], by: str, levels: Sequence[object] | None = None) -> tuple[DataFrame, list[str]]:
+    """A column ``x_by_level`` for each regressor and each of ``levels``: the regressor where ``by`` is that level, else 0. Where ``by`` is null, null.
+
+    Without ``levels`` a number is multiplied with, as ``x_by``.
+    """
+    if levels is None:
+        names = {f"{x}_{by}": F.col(x) * F.col(by) for x in xs}
+    else:
+        names = {f"{x}_{by}_{level}": F.when(F.col(by).isNotNull(), F.col(x) * (F.col(by) == F.lit(level)).cast("double")) for x in xs for level in levels}
+    taken = [n for n in names if n in df.columns]
+    if taken:
+        raise ValueError(f"the table has {', '.join(taken)} already")
+    return df.withColumns(names), list(names)
+
+
+def fit_subsamples(df: DataFrame, by: str, levels: Sequence[object], model: Callable[[DataFrame], Fit]) -> dict[object, Fit | None]:
+    """A model of the rows of each level; None for a level in which it can't be fitted. The levels are a short list that is given."""
+    out: dict[object, Fit | None] = {}
+    for level in levels:
+        try:
+            out[level] = model(df.where(F.col(by) == F.lit(level)))
+        except ValueError:
+            out[level] = None
+    return out

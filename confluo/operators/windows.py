@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from confluo.functions.numeric import col
+from confluo.session import free_name
 
 
 def over(unit: Sequence[str] | str, order: Sequence[str | Column] | str) -> WindowSpec:
@@ -60,17 +61,18 @@ def interpolate(df: DataFrame, unit: str, order: str, value: str, out: str, exte
     w = over(unit, order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     some = F.col(value).isNotNull()
-    placed = df.withColumn("__k", F.row_number().over(w))
+    k, a, i, b, j = (free_name(df, f"__confluo_{x}") for x in "kaibj")
+    placed = df.withColumn(k, F.row_number().over(w))
     placed = placed.select(
         "*",
-        F.last(value, ignorenulls=True).over(before).alias("__a"), F.last(F.when(some, F.col("__k")), ignorenulls=True).over(before).alias("__i"),
-        F.first(value, ignorenulls=True).over(after).alias("__b"), F.first(F.when(some, F.col("__k")), ignorenulls=True).over(after).alias("__j"),
+        F.last(value, ignorenulls=True).over(before).alias(a), F.last(F.when(some, F.col(k)), ignorenulls=True).over(before).alias(i),
+        F.first(value, ignorenulls=True).over(after).alias(b), F.first(F.when(some, F.col(k)), ignorenulls=True).over(after).alias(j),
     )
-    line = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__k") - F.col("__i")) / (F.col("__j") - F.col("__i"))
-    filled = F.when(some, F.col(value)).when(F.col("__i").isNotNull() & F.col("__j").isNotNull(), line)
+    line = F.col(a) + (F.col(b) - F.col(a)) * (F.col(k) - F.col(i)) / (F.col(j) - F.col(i))
+    filled = F.when(some, F.col(value)).when(F.col(i).isNotNull() & F.col(j).isNotNull(), line)
     if extend:
-        filled = filled.when(F.col("__j").isNull(), F.col("__a"))
-    return placed.withColumn(out, filled).drop("__k", "__a", "__b", "__i", "__j")
+        filled = filled.when(F.col(j).isNull(), F.col(a))
+    return placed.withColumn(out, filled).drop(k, a, i, b, j)
 
 
 def demean(value: Column | str, unit: Sequence[str]) -> Column:
@@ -79,8 +81,9 @@ def demean(value: Column | str, unit: Sequence[str]) -> Column:
 
 def zscore(df: DataFrame, value: str, out: str) -> DataFrame:
     """Distance from the mean in sample deviations over the whole table. One small aggregate is joined back; no window gathers all rows."""
-    total = df.agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    return df.crossJoin(F.broadcast(total)).withColumn(out, F.try_divide(F.col(value) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
+    m, s = free_name(df, "__confluo_m"), free_name(df, "__confluo_s")
+    total = df.agg(F.avg(value).alias(m), F.stddev_samp(value).alias(s))
+    return df.crossJoin(F.broadcast(total)).withColumn(out, F.try_divide(F.col(value) - F.col(m), F.col(s))).drop(m, s)
 
 
 def outlier(value: Column | str, unit: Sequence[str], factor: float = 1.5) -> Column:
@@ -102,7 +105,8 @@ def rank_thirds(w: WindowSpec, unit: Sequence[str], names: Sequence[str] = ("low
 
 def keep_groups(df: DataFrame, unit: Sequence[str], condition: Column) -> DataFrame:
     """Rows of the groups for which an aggregate condition holds."""
-    return df.withColumn("__ok", condition.over(Window.partitionBy(*unit))).where("__ok").drop("__ok")
+    ok = free_name(df, "__confluo_ok")
+    return df.withColumn(ok, condition.over(Window.partitionBy(*unit))).where(F.col(ok)).drop(ok)
 
 
 def share_null(value: Column | str) -> Column:

@@ -141,7 +141,17 @@ def best_row_per_station_day(t: Tables) -> DataFrame:
     return streamflow.best_rows(daily, tie=("event_id",)).select(F.col("station_code").alias("user_id"), "date", "event_id")
 
 
-@query()
+@query("""
+WITH m AS (SELECT o_custkey AS station_code, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, CAST(day(o_orderdate) AS INT) AS d, max(o_totalprice) AS v, max(o_orderstatus) AS s FROM orders GROUP BY ALL),
+k AS (SELECT o_custkey AS station_code, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, max(o_orderkey % 3) AS consistency_level FROM orders GROUP BY ALL), g AS (SELECT *, unnest(range(1, 32))::INT AS d FROM k),
+r AS (SELECT station_code, CAST(g.m + to_days(g.d - 1) AS DATE) AS date, v, s AS quality_flag, consistency_level FROM g LEFT JOIN m USING (station_code, m, d) WHERE month(g.m + to_days(g.d - 1)) = month(g.m)),
+b AS (SELECT *, coalesce(count(*) FILTER (v = 100000) OVER w / nullif(count(v) OVER w, 0) > 0.05, false) AS bad, CASE WHEN v <> 100000 THEN v END AS x FROM r WINDOW w AS (PARTITION BY station_code)),
+c AS (SELECT *, sum(CASE WHEN x = before THEN 0 ELSE 1 END) OVER (PARTITION BY station_code ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(x) OVER (PARTITION BY station_code ORDER BY date) AS before FROM b)),
+n AS (SELECT *, count(*) OVER (PARTITION BY station_code, run) AS n FROM c), y AS (SELECT *, CASE WHEN n <= 365 THEN x END AS y FROM n),
+j AS (SELECT *, lag(y) OVER (PARTITION BY station_code ORDER BY date) AS p FROM y)
+SELECT station_code, date, CASE WHEN y < 0 OR y > 1e6 OR y IN (9999, 99999, 999999) THEN NULL ELSE y END AS discharge, quality_flag, consistency_level, CAST(NULL AS VARCHAR) AS streamflow_acquisition_method,
+coalesce(x <> 0 AND n BETWEEN 31 AND 365, false) AS flag_constant_run_suspicious, coalesce((p > 0 AND p < 0.01 AND y / nullif(p, 0) > 10000) OR (p = 0 AND y > 0), false) AS flag_jump_suspicious, bad AS flag_bad_station FROM j
+""")
 def clean_streamflow_daily(t: Tables) -> DataFrame:
     return streamflow.build_clean_streamflow_daily(monthly(t))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.operators import suite
-from confluo.operators.estimate import Fit, fe_ols
+from confluo.operators.estimate import Fit, fe_iv, fe_ols, fit_subsamples, with_interactions
 from confluo.plans.registry import Tables, query
 
 _PANEL = """
@@ -55,30 +55,62 @@ WITH {_PANEL}, d AS (SELECT x1 - avg(x1) OVER (PARTITION BY unit) AS e, x2 - avg
 SELECT round(sum(z * e) / sum(z * z), 6) AS first_stage, round(sum(z * y) / sum(z * z), 6) AS reduced_form, round(sum(z * y) / sum(z * e), 3) AS iv FROM d
 """)
 def iv_two_stage(t: Tables) -> DataFrame:
-    import numpy as np
+    p = balanced(t)
+    first, reduced = (fe_ols(p, y, ["x2"], ["unit"], ["unit"]).beta[0] for y in ("x1", "y"))
+    iv = fe_iv(p, "y", "x1", ["x2"], [], ["unit"], ["unit"]).beta[0]
+    return t.spark.createDataFrame([(round(float(first), 6), round(float(reduced), 6), round(float(iv), 3))], "first_stage double, reduced_form double, iv double")
 
-    from confluo.operators.estimate import fit
 
-    p = balanced(t).toPandas()
-    first = fit(p["x1"].to_numpy(), p[["x2"]].to_numpy(), ["x2"], [p["unit"].to_numpy()], [p["unit"].to_numpy()]).beta[0]
-    reduced = fit(p["y"].to_numpy(), p[["x2"]].to_numpy(), ["x2"], [p["unit"].to_numpy()], [p["unit"].to_numpy()]).beta[0]
-    iv = fit(p["y"].to_numpy(), np.zeros((len(p), 0)), [], [p["unit"].to_numpy()], [p["unit"].to_numpy()], endogenous=p["x1"].to_numpy(), instruments=p[["x2"]].to_numpy()).beta[0]
-    return t.spark.createDataFrame([(round(float(first), 6), round(float(reduced), 6), round(float(iv), 3))], "first_stage double, reduced_form double, iv double")
+#: Least squares on two regressors, from demeaned sums. ``d`` has unit, year, dx, dz and dy.
+_TWO = """
+m AS (SELECT sum(dx * dx) AS xx, sum(dx * dz) AS xz, sum(dz * dz) AS zz, sum(dx * dy) AS xy, sum(dz * dy) AS zy, count(*) AS n FROM d),
+b AS (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM m),
+r AS (SELECT d.*, dx * (dy - b1 * dx - b2 * dz) AS s1, dz * (dy - b1 * dx - b2 * dz) AS s2 FROM d, b)
+"""
 
 
-@query()
+@query(f"""
+WITH {_PANEL}, d AS (SELECT unit, year, x1 - avg(x1) OVER (PARTITION BY unit) AS dx, x2 - avg(x2) OVER (PARTITION BY unit) AS dz, y - avg(y) OVER (PARTITION BY unit) AS dy FROM k), {_TWO},
+c AS (SELECT 1 AS sign, sum(s1) AS s1, sum(s2) AS s2, 'u' AS how FROM r GROUP BY unit UNION ALL SELECT 1, sum(s1), sum(s2), 'y' FROM r GROUP BY year UNION ALL SELECT -1, sum(s1), sum(s2), 'b' FROM r GROUP BY unit, year),
+g AS (SELECT how, min(sign) AS sign, count(*) AS g, sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22 FROM c GROUP BY how),
+v AS (SELECT sum(sign * g / (g - 1.0) * (n - 1.0) / (n - 3.0) * (zz * zz * m11 - 2 * zz * xz * m12 + xz * xz * m22) / (det * det)) AS v1, sum(sign * g / (g - 1.0) * (n - 1.0) / (n - 3.0) * (xx * xx * m22 - 2 * xx * xz * m12 + xz * xz * m11) / (det * det)) AS v2 FROM g, b)
+SELECT 'x1' AS term, round(b1, 5) AS estimate, round(sqrt(greatest(v1, 0)), 5) AS std_error, n AS nobs FROM b, v UNION ALL SELECT 'x2', round(b2, 5), round(sqrt(greatest(v2, 0)), 5), n FROM b, v
+""")
 def multiway_cluster_errors(t: Tables) -> DataFrame:
+    """Errors clustered by unit and by year. The unit is nested in its clusters, so its levels don't count in the factor."""
     return _table(t, fe_ols(balanced(t), "y", ["x1", "x2"], ["unit"], ["unit", "year"]))
 
 
+@query(f"""
+WITH {_PANEL}, d AS (SELECT unit, year, i - avg(i) OVER (PARTITION BY unit) AS dx, x1 - avg(x1) OVER (PARTITION BY unit) AS dz, y - avg(y) OVER (PARTITION BY unit) AS dy FROM (SELECT *, x1 * CAST(year >= 1998 AS DOUBLE) AS i FROM k)), {_TWO}
+SELECT 'x1' AS term, round(b2, 5) AS estimate, n AS nobs FROM b UNION ALL SELECT 'x1_late', round(b1, 5), n FROM b
+""")
+def interaction_model(t: Tables) -> DataFrame:
+    """A regressor by itself and in late years."""
+    p, names = with_interactions(balanced(t).withColumn("late", (F.col("year") >= 1998).cast("double")), ["x1"], "late")
+    f = fe_ols(p, "y", ["x1", *names], ["unit"], ["unit"])
+    return t.spark.createDataFrame([(n, round(float(b), 5), f.n) for n, b in zip(f.names, f.beta)], "term string, estimate double, nobs long")
+
+
+@query(f"""
+WITH {_PANEL}, h AS (SELECT *, CASE WHEN unit % 3 = 0 THEN 'a' WHEN unit % 3 = 1 THEN 'b' ELSE 'c' END AS part FROM k), d AS (SELECT part, x1 - avg(x1) OVER (PARTITION BY unit) AS dx, y - avg(y) OVER (PARTITION BY unit) AS dy FROM h)
+SELECT part, round(sum(dx * dy) / sum(dx * dx), 5) AS estimate, count(*) AS nobs FROM d GROUP BY part
+""")
+def subsample_models(t: Tables) -> DataFrame:
+    """The same model in three parts of the units, and in one that has none."""
+    p = balanced(t).withColumn("part", F.element_at(F.array(*map(F.lit, "abc")), (F.col("unit") % 3 + 1).cast("int")))
+    fits = fit_subsamples(p, "part", ["a", "b", "c", "none"], lambda d: fe_ols(d, "y", ["x1"], ["unit"], ["unit"]))
+    return t.spark.createDataFrame([(k, round(float(f.beta[0]), 5), f.n) for k, f in fits.items() if f], "part string, estimate double, nobs long")
+
+
 _CATALOG = """
-c AS (SELECT 'total_nitrogen' AS name, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n FROM orders UNION ALL SELECT 'turbidity', count(CASE WHEN o_orderstatus = 'P' THEN 1 END) FROM orders UNION ALL SELECT 'zinc', count(*) FROM orders UNION ALL SELECT 'chlorides', 3)
+c AS (SELECT 'total_nitrogen' AS name, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n FROM orders UNION ALL SELECT 'turbidity', count(CASE WHEN o_orderstatus = 'P' THEN 1 END) FROM orders UNION ALL SELECT 'zinc', count(*) FROM orders UNION ALL SELECT 'chlorides', count(CASE WHEN o_orderkey <= 3 THEN 1 END) FROM orders)
 """
 
 
 def _catalog(t: Tables) -> list[suite.Pollutant]:
     o = t.orders.select(
-        F.when(F.col("o_orderstatus") == "F", 1).alias("total_nitrogen"), F.when(F.col("o_orderstatus") == "P", 1).alias("turbidity"), F.lit(1).alias("zinc"), F.when(F.col("o_orderkey").isin([x["o_orderkey"] for x in t.orders.orderBy("o_orderkey").limit(3).collect()]), 1).alias("chlorides")
+        F.when(F.col("o_orderstatus") == "F", 1).alias("total_nitrogen"), F.when(F.col("o_orderstatus") == "P", 1).alias("turbidity"), F.lit(1).alias("zinc"), F.when(F.col("o_orderkey") <= 3, 1).alias("chlorides")
     )
     return suite.build_pollutant_catalog(o, {n: {} for n in ("total_nitrogen", "turbidity", "zinc", "chlorides", "depth")}, suite.SuiteSettings(tiers=(("high", 10_000), ("medium", 1_000), ("rare", 0))))
 

@@ -101,9 +101,16 @@ def sliding_regression_slope(t: Tables) -> DataFrame:
     return yearly(t).select("unit", "year", F.round(F.regr_slope("a", "year").over(w), 3).alias("slope"))
 
 
-@query()
+@query(f"""
+WITH {_YEARLY}, k AS (SELECT unit, year, a, row_number() OVER (PARTITION BY unit ORDER BY year) AS i, count(*) OVER (PARTITION BY unit) AS n FROM y),
+f AS (SELECT k.unit, k.i, regr_slope(o.a, o.year) AS slope, regr_intercept(o.a, o.year) AS start FROM k JOIN k o ON o.unit = k.unit AND o.i BETWEEN k.i AND k.i + greatest(k.n // 2, 2) - 1 WHERE k.i + greatest(k.n // 2, 2) - 1 <= k.n GROUP BY ALL HAVING count(o.a) >= 2),
+m AS (SELECT unit, median(slope) AS slope, median(start) AS start FROM f GROUP BY 1), r AS (SELECT k.*, CASE WHEN n >= 4 THEN start + slope * year END AS fitted FROM k LEFT JOIN m USING (unit)),
+q AS (SELECT unit, quantile_cont(a - fitted, 0.25) AS q1, quantile_cont(a - fitted, 0.75) AS q3 FROM r GROUP BY 1)
+SELECT unit, year, round(a, 3) AS a, round(fitted, 3) AS fitted, round(CASE WHEN a - fitted < q1 - 1.5 * (q3 - q1) OR a - fitted > q3 + 1.5 * (q3 - q1) THEN fitted ELSE a END, 3) AS adjusted FROM r JOIN q USING (unit)
+""")
 def sliding_ols_adjust(t: Tables) -> DataFrame:
-    return windows.sliding_ols(yearly(t).select("unit", "year", "a"), "unit", "year", "a", "year")
+    out = windows.sliding_ols(yearly(t).select("unit", "year", "a"), "unit", "year", "a", "year")
+    return out.select("unit", F.col("year").cast("int").alias("year"), *[F.round(c, 3).alias(c) for c in ("a", "fitted", "adjusted")])
 
 
 @query("SELECT CAST(floor(x) AS BIGINT) AS ix, CAST(floor(y) AS BIGINT) AS iy, x * 0.5 AS min_x, y * 0.5 AS min_y, x * 0.5 + 0.5 AS max_x, y * 0.5 + 0.5 AS max_y FROM (SELECT unnest(range(0, 8))::DOUBLE AS x), (SELECT unnest(range(0, 4))::DOUBLE AS y)")
