@@ -291,3 +291,17 @@ def fit_subsamples(df: DataFrame, by: str, levels: Sequence[object], model: Call
         except ValueError:
             out[level] = None
     return out
+
+
+def impute_for_model(df: DataFrame, unit: str, period: str, columns: Sequence[str], *, most_missing: float = 0.05) -> DataFrame:
+    """Rows that a model can use: units with at most ``most_missing`` of every column missing, gaps between two values filled in a straight line, and then complete rows."""
+    from functools import reduce
+
+    from confluo.operators.windows import interpolate, share_null
+
+    shares = df.groupBy(unit).agg(*[share_null(c).alias(f"s{k}") for k, c in enumerate(columns)])
+    kept = df.join(shares.where(reduce(lambda a, b: a & b, [F.col(f"s{k}") <= most_missing for k in range(len(columns))])).select(unit), unit, "left_semi")
+    for c in columns:
+        made = free_name(kept, f"__confluo_{c}")
+        kept = interpolate(kept, unit, period, c, made, extend=False).withColumn(c, F.col(made)).drop(made)
+    return kept.dropna(subset=list(columns))

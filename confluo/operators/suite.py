@@ -9,6 +9,7 @@ import argparse
 import json
 import os
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
@@ -25,6 +26,8 @@ _LABELS = """31 Agriculture; 3 Floodable forest; 0 Forest formation; 5 Grassland
 CLASSES = {f"c{n}": label for n, label in sorted((int(x.split()[0]), x.split(maxsplit=1)[1]) for x in _LABELS.split(";"))}
 #: A sample of up to this many cells (rows by columns, 8 bytes each) is sent to every task; models of larger ones are fitted by Spark one after the other.
 CELLS_SENT = 10_000_000
+#: Models of larger tables that run at the same time.
+MODELS_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
@@ -220,7 +223,10 @@ def fit_specs(data: DataFrame, specs: Sequence[ModelSpec], settings: SuiteSettin
         sample = have.select(*sample_columns(settings, spec)).dropna()
         return fe_ols(sample, spec.outcome_column, [*spec.coefficient_columns, *settings.control_columns()], settings.fixed_effects, [settings.cluster]).tidy(), sample.count()
 
-    return spark.createDataFrame([r for k, s in enumerate(specs) for r in rows_of(k, lambda s=s: by_spark(s))], schema)
+    # Models are jobs of their own, several at a time.
+    with ThreadPoolExecutor(max(1, min(len(specs), MODELS_AT_ONCE))) as pool:
+        done = pool.map(lambda k: rows_of(k, lambda: by_spark(specs[k])), range(len(specs)))
+        return spark.createDataFrame([r for rows in done for r in rows], schema)
 
 
 _SPEC_COLUMNS = "pollutant pollutant_group_kind pollutant_group_name pollutant_type pollutant_importance transform land_cover_subclass distance_step_index distance_step_name included_buckets formula".split()

@@ -61,7 +61,7 @@ def interpolate(df: DataFrame, unit: str, order: str, value: str, out: str, exte
     w = over(unit, order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     some = F.col(value).isNotNull()
-    k, a, i, b, j = (free_name(df, f"__confluo_{x}") for x in "kaibj")
+    k, a, i, b, j = (free_name(df.withColumn(out, F.lit(0)), f"__confluo_{x}") for x in "kaibj")
     placed = df.withColumn(k, F.row_number().over(w))
     placed = placed.select(
         "*",
@@ -81,7 +81,7 @@ def demean(value: Column | str, unit: Sequence[str]) -> Column:
 
 def zscore(df: DataFrame, value: str, out: str) -> DataFrame:
     """Distance from the mean in sample deviations over the whole table. One small aggregate is joined back; no window gathers all rows."""
-    m, s = free_name(df, "__confluo_m"), free_name(df, "__confluo_s")
+    m, s = (free_name(df.withColumn(out, F.lit(0)), f"__confluo_{x}") for x in "ms")
     total = df.agg(F.avg(value).alias(m), F.stddev_samp(value).alias(s))
     return df.crossJoin(F.broadcast(total)).withColumn(out, F.try_divide(F.col(value) - F.col(m), F.col(s))).drop(m, s)
 

@@ -145,3 +145,18 @@ def model_suite(t: Tables) -> DataFrame:
     s = suite.SuiteSettings(buckets=("0_10km", "10_50km"), classes=("c0", "c9"), fixed_effects=("unit", "year"), cluster="unit", controls=())
     p = balanced(t).select("unit", "year", F.col("y").alias("ph__transformed"), F.col("x1").alias("lc_0_10km_c0_cnt"), F.col("x2").alias("lc_10_50km_c0_cnt"))
     return suite.fit_specs(p, suite.build_model_specs(s, ["ph"], ["c0", "c9"]), s)
+
+
+@query(f"""
+WITH {_PANEL}, t AS (SELECT unit, year, x1 - avg(x1) OVER u - avg(x1) OVER w + avg(x1) OVER () AS dx, x2 - avg(x2) OVER u - avg(x2) OVER w + avg(x2) OVER () AS dz, y - avg(y) OVER u - avg(y) OVER w + avg(y) OVER () AS dy FROM k WINDOW u AS (PARTITION BY unit), w AS (PARTITION BY year)),
+d AS (SELECT * FROM t), {_TWO}, l AS (SELECT count(DISTINCT year) - 1 AS years FROM k),
+o AS (SELECT xy / xx AS b FROM m), os AS (SELECT sum(dx * (dy - b * dx)) AS s FROM d, o GROUP BY unit), ov AS (SELECT count(*) AS g, sum(s * s) AS q FROM os),
+us AS (SELECT sum(s1) AS s1, sum(s2) AS s2 FROM r GROUP BY unit), uv AS (SELECT count(*) AS g, sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22 FROM us)
+SELECT 0 AS spec, n AS nobs, 'ok' AS status, 'lc_0_10km_c0_cnt' AS term, round(o.b, 5) AS estimate, round(sqrt(q * g / (g - 1) * (n - 1) / (n - 2 - years)) / xx, 5) AS std_error FROM o, ov, m, l
+UNION ALL SELECT 1, n, 'ok', 'lc_0_10km_c0_cnt', round(b1, 5), round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 3 - years) * (zz * zz * m11 - 2 * zz * xz * m12 + xz * xz * m22)) / det, 5) FROM b, uv, l
+UNION ALL SELECT 1, n, 'ok', 'lc_10_50km_c0_cnt', round(b2, 5), round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 3 - years) * (xx * xx * m22 - 2 * xx * xz * m12 + xz * xz * m11)) / det, 5) FROM b, uv, l
+UNION ALL SELECT 2, 0, 'failed', NULL, NULL, NULL UNION ALL SELECT 3, 0, 'failed', NULL, NULL, NULL
+""")
+def suite_estimates(t: Tables) -> DataFrame:
+    """Estimates and errors of the models of :func:`model_suite`."""
+    return model_suite(t).select("spec", "nobs", "status", "term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"))

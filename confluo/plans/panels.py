@@ -131,3 +131,27 @@ def census_recode(t: Tables) -> DataFrame:
 def coerce_numbers(t: Tables) -> DataFrame:
     both = t.customer.select(number("c_name").alias("x")).union(t.customer.select(number(F.col("c_acctbal").cast("string"))))
     return both.agg(F.count("x").alias("n_numbers"), F.round(F.sum("x"), 4).alias("total"))
+
+
+@query(f"""
+WITH {_GRID}, s AS (SELECT unit FROM g GROUP BY 1 HAVING avg(CAST(a IS NULL AS INT)) <= 0.7), f AS (SELECT unit, year, CASE WHEN a IS NOT NULL THEN a ELSE va + (vb - va) * (k - ka) / (kb - ka) END AS a FROM i)
+SELECT unit, year, round(a, 4) AS a FROM f WHERE a IS NOT NULL AND unit IN (SELECT unit FROM s)
+""")
+def imputed_model_rows(t: Tables) -> DataFrame:
+    from confluo.operators.estimate import impute_for_model
+
+    return impute_for_model(_grid(t).select("unit", "year", "a"), "unit", "year", ["a"], most_missing=0.7).select("unit", "year", F.round("a", 4).alias("a"))
+
+
+@query("""
+WITH p AS (SELECT CASE WHEN c_nationkey % 4 > 0 THEN c_nationkey END AS zone, c_acctbal AS x, c_nationkey * 10.0::DOUBLE AS y, CAST(c_custkey AS DOUBLE) AS v FROM customer), z AS (SELECT n_nationkey AS zone, n_nationkey * 100.0::DOUBLE AS x, n_nationkey * 10.0::DOUBLE AS y FROM nation),
+m AS (SELECT zone, avg(v) AS v FROM p WHERE zone IS NOT NULL GROUP BY 1), o AS (SELECT x, y, avg(v) AS v FROM p GROUP BY ALL),
+n AS (SELECT z.zone, arg_min(o.v, pow(o.x - z.x, 2) + pow(o.y - z.y, 2)) AS v FROM z, o GROUP BY 1)
+SELECT z.zone, round(coalesce(m.v, n.v), 4) AS v FROM z LEFT JOIN m USING (zone) JOIN n USING (zone)
+""")
+def zonal_mean_with_fallback(t: Tables) -> DataFrame:
+    """Means of the pixels of each zone; a fourth of the zones have none and take the nearest pixel."""
+    key = F.col("c_nationkey")
+    pixels = t.customer.select(F.when(key % 4 > 0, key).alias("zone"), F.col("c_acctbal").alias("x"), (key * 10.0).alias("y"), F.col("c_custkey").cast("double").alias("v"))
+    zones = t.nation.select(F.col("n_nationkey").alias("zone"), (F.col("n_nationkey") * 100.0).alias("x"), (F.col("n_nationkey") * 10.0).alias("y"))
+    return panel.zonal_mean(pixels, zones, "v", step=5.0).withColumn("v", F.round("v", 4))
