@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
@@ -10,8 +11,18 @@ from pyspark.sql import functions as F
 
 from confluo.functions.numeric import col
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folds() -> tuple[str, str]:
+    """Characters that are, by compatibility, one ASCII letter or digit with marks, then the marks themselves; and what stands for the first."""
+    found = {}
+    for k in chain(range(0xAA, 0x250), range(0x1E00, 0x1F00), range(0x2070, 0x2190), range(0xFF10, 0xFF5B)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(c)).lower()
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            found[chr(k)] = plain
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+_ACCENTED, _PLAIN = _folds()
 MONTHS = {"jan": 1, "fev": 2, "mar": 3, "abr": 4, "mai": 5, "jun": 6, "jul": 7, "ago": 8, "set": 9, "out": 10, "nov": 11, "dez": 12}
 #: Tried in this order, as some keywords contain others.
 TYPE_KEYWORDS = {
@@ -25,7 +36,7 @@ TYPE_KEYWORDS = {
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Lower case without the accents of Latin letters."""
+    """Lower case without marks: what is one ASCII letter or digit by compatibility becomes it, and combining marks go."""
     return F.translate(F.lower(col(c)), _ACCENTED, _PLAIN)
 
 

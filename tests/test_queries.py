@@ -57,11 +57,14 @@ def test_entry_module(spark):
     assert e.entry(spark).count() > 0
 
 
-def test_library_without_the_llm_folder(tmp_path):
-    """A copy without it, and without the pipeline, imports and keeps the other queries."""
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_library_without_the_llm_folder(tmp_path, with_pipeline):
+    """A copy without it, with the pipeline's file or without, imports and keeps the other queries."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run(["cp", "-r", f"{root}/confluo", f"{root}/__spark_entry__.py", str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "confluo/llm")], check=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
+    if with_pipeline:
+        (tmp_path / "corpus_pipeline.py").write_text("from confluo.llm import pack_sos\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 140 and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)

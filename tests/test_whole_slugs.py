@@ -1,9 +1,11 @@
 """Slugs are of whole texts."""
 
 import re
+import unicodedata
 
 import pyarrow.parquet as pq
 
+from confluo.functions import text
 from confluo.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +25,12 @@ def test_given_texts(spark):
     assert set(got) == set(table["doc_id"]) and any(len(x) > 80 for x in got.values())
     for i, text in zip(table["doc_id"], table["text"]):
         assert got[i] == (re.sub("[^a-z0-9]+", "_", text.lower().translate(_FOLD)).strip("_") or "run")
+
+
+def test_letters_of_all_latin_scripts(spark):
+    words = ["Łódź", "Žižkov", "ﬁve", "Ⅻ", "İzmir", "e\u0301te\u0301", "ｆｕｌｌ２", "x²", "Ǆ", "ĳ", "Ấp"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.slugify("w")).collect()]
+    single = [re.sub("[^a-z0-9]+", "_", "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c))).strip("_") for w in words]
+    same = [g == s for g, s in zip(got, single)]
+    # Signs that are several letters, such as ligatures, aren't taken apart.
+    assert [w for w, ok in zip(words, same) if not ok] == ["ﬁve", "Ⅻ", "Ǆ", "ĳ"]
