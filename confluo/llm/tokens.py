@@ -16,6 +16,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -26,7 +27,7 @@ TOKENIZER_KEY = "spark.confluo.tokenizer"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_BYTES = 64 << 20
 #: Pieces that a worker remembers; it starts anew beyond that.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: The expression that byte-level BPE cuts texts with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = "<|endoftext|>"
@@ -80,7 +81,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        #: Pieces that are known, their hashes in order and the piece of each hash; piece k has the ids ``ids[first[k] : first[k + 1]]``.
+        self.known = pa.array([], pa.large_string())
+        self.hashes, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.first = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,25 +98,37 @@ class Encoder:
         at = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
         return ids.astype(self.dtype), np.diff(np.concatenate(([0], at)))
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of the pieces among those known, whose ids are ``ids[first[k] : first[k + 1]]``. New ones become known."""
+    def _numbers(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """The number of each of some different pieces. New ones become known. A hash finds a piece, and its text decides."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        known = self.known
-        fresh = [p for p in pieces if p not in known]
-        if fresh:
-            blank = [p for p in fresh if p[:1] == " " and not p[1:2].isspace() and len(p) > 1 and not p[-1].isspace()]
-            other = [p for p in fresh if p[:1] != " " or p[1:2].isspace() or len(p) < 2 or p[-1].isspace()]
-            ids, first = [self.ids], [self.first]
-            for some, encode in ((blank, self._as_one), (other, self._one_by_one)):
-                if some:
-                    for p in some:
-                        known[p] = len(known)
-                    new, sizes = encode(some)
+        raw, off = flat.buffers(pieces)
+        h = flat.span_hashes(raw, off[:-1], off[1:])
+        number = np.full(len(pieces), -1)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == h)
+            mine = self.piece[at[hit]]
+            same = pc.equal(self.known.take(pa.array(mine)), pieces.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+            number[hit[same]] = mine[same]
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            texts = pieces.take(pa.array(fresh)).to_pylist()
+            as_one = np.array([len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in texts])
+            ids, first, known, n = [self.ids], [self.first], [self.known], len(self.known)
+            for some, encode in ((np.flatnonzero(as_one), self._as_one), (np.flatnonzero(~as_one), self._one_by_one)):
+                if len(some):
+                    number[fresh[some]] = n + np.arange(len(some))
+                    n += len(some)
+                    new, sizes = encode([texts[k] for k in some])
                     ids.append(new)
                     first.append(first[-1][-1] + np.cumsum(sizes))
-            self.ids, self.first = np.concatenate(ids), np.concatenate(first)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+                    known.append(pieces.take(pa.array(fresh[some])))
+            self.ids, self.first, self.known = np.concatenate(ids), np.concatenate(first), pa.concat_arrays(known)
+            order = np.argsort(h[fresh])
+            to = np.searchsorted(self.hashes, h[fresh][order])
+            self.hashes, self.piece = np.insert(self.hashes, to, h[fresh][order]), np.insert(self.piece, to, number[fresh][order])
+        return number
 
     def _slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.zeros(len(raw) + 1, bool)
@@ -125,7 +140,7 @@ class Encoder:
         at = np.flatnonzero(cut)
         pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw)))
         coded = pieces.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        number = self._numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.first[number + 1] - self.first[number]
         ends = np.cumsum(n)
         out = self.ids[np.arange(ends[-1]) + np.repeat(self.first[number] - (ends - n), n)]
@@ -138,7 +153,7 @@ class Encoder:
             return ids, np.concatenate(([0], np.cumsum(sizes)))
         raw, off = flat.buffers(texts)
         ids, places, total = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)], 0
-        for i, j in flat.slices(off, 8 << 20):
+        for i, j in flat.slices(off, 2 << 20):
             if off[i] == off[j]:
                 places.append(np.full(j - i, total))
                 continue

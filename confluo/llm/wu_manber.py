@@ -29,7 +29,7 @@ from confluo.session import cut
 
 WORDS = 8
 LEAST_WORDS = 5
-SEARCH_BYTES = 4 << 20
+SEARCH_BYTES = 2 << 20
 LANES = 4096
 #: Benchmark text that is broadcast and searched for at once; more of it takes more passes. A worker holds about twelve times this.
 PASS_BYTES = 16 << 20
@@ -47,8 +47,10 @@ def unicode_fold(texts: pa.Array) -> pa.Array:
     # Bytes over C3 begin other letters; C2 begins the signs of Latin-1; two signs are among its letters.
     odd = raw == 0xC2
     odd |= raw > 0xC3
-    odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
-    some = np.flatnonzero(flat.per_doc(odd.astype(np.int64), off))
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    odd[lead + 1] |= (raw[lead + 1] == 0x97) | (raw[lead + 1] == 0xB7)
+    at = np.flatnonzero(odd)
+    some = np.unique(np.searchsorted(off, at, "right") - 1)
     if not len(some):
         return texts
     mask = np.zeros(len(texts), bool)
