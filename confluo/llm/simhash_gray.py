@@ -414,7 +414,7 @@ def _grouped(fp: DataFrame, **how: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
-    """``doc_id``, ``group_id`` (the least id of the group) and ``keep`` for every distinct id of ``docs``.
+    """``doc_id``, ``group_id`` (the least id of the group), ``n_links`` (the other ids that it is linked to, directly or through others) and ``keep`` for every distinct id of ``docs``.
 
     One document of each group is kept, the one with the least id. Texts of any length are read whole. A text that is null, empty or without
     any word is in no group but its own and is kept. A repeated id is one document, grouped by the least
@@ -422,7 +422,12 @@ def near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
     """
     fp = cut(fingerprint_table(docs))
     grouped = _grouped(fp, **how).unionByName(fp.where("id is not null and hi is null").select("id", F.col("id").alias("group_id")))
-    return grouped.groupBy(F.col("id").alias("doc_id")).agg(F.min("group_id").alias("group_id")).withColumn("keep", F.expr("doc_id = group_id"))
+    one = cut(grouped.groupBy(F.col("id").alias("doc_id")).agg(F.min("group_id").alias("group_id")))
+    # Most documents are alone; the sizes of the others' groups are few, and a group of any size is one row of them.
+    sizes = cut(one.where("doc_id <> group_id").groupBy("group_id").agg(F.count("*").alias("n_links")))
+    few = sizes.count() <= BROADCAST_IDS
+    joined = one.join(F.broadcast(sizes) if few else sizes, "group_id", "left")
+    return joined.select("doc_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.expr("doc_id = group_id").alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:

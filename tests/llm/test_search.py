@@ -105,7 +105,7 @@ def test_drop_near_duplicates(spark):
 def test_simhash_many_copies(spark):
     docs = spark.range(1200).selectExpr("id as doc_id", "'the same words in the same order every time that they are read aloud' as text")
     out = simhash_gray.near_duplicates(docs).toPandas()
-    assert out.keep.sum() == 1 and out.group_id.eq(0).all()
+    assert out.keep.sum() == 1 and out.group_id.eq(0).all() and out.n_links.eq(1199).all()
 
 
 RULES = ["||bad.example^", "/ads/*", "@@||bad.example^*/ok", "|http://x.", "track|", "^q=1^", "/re[0-9]+x/", "a*b^", "! comment", ""]
