@@ -34,8 +34,6 @@ _MENU_GAP = "[ |/,>»·•-]"
 _MENU_SQL = rf"(?i)^(({_MENU_WORDS}){_MENU_GAP}*)+\z"
 #: The same, possessive: this engine then walks the words in a loop. Otherwise it recurses, and a menu of some thousand words overflows its stack.
 _MENU = rf"(?i)^(?:(?:{_MENU_WORDS}){_MENU_GAP}*+)++\z"
-#: Four words or more. It tries no run of blanks twice, so its time is linear in the line.
-_FOUR_WORDS = "(?<! ) ++[^ ]++ ++[^ ]++ ++[^ ]"
 _MARKS = r"(!!|\?\?|&&|%%|##|\$\$|\*\*|@@|==|~~|\+\+)"
 _ENDS = r"[.!?…:;。！？][\"'”’»)\]]*\z"
 
@@ -64,25 +62,35 @@ def _hints(text: Column) -> Column:
     return F.struct(_any_in(F.lower(text), _HINTS["notice"]).alias("notice"), _any_in(text, _HINTS["bar"]).alias("bar"), _any_in(text, _HINTS["mark"]).alias("mark"))
 
 
-def _repetitive(line: Column) -> Column:
-    return _let(F.split(line, " +"), lambda w: (F.size(w) >= 6) & (F.size(F.array_distinct(w)) * 4 < F.size(w)))
+def _words(line: Column) -> Column:
+    """What blanks part. A split at one character needs no regular expression."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _line_rule(line: Column, hints: Column | None = None) -> Column:
     hints = _hints(line) if hints is None else hints
-    n = F.size(F.split(line, " +"))
-    barred = _let(F.regexp_count(line, F.lit(_BAR)), lambda bars: (bars >= 2) & (bars * 3 >= n))
-    return (
-        F.when(hints["notice"] & line.rlike(_BOILERPLATE), "boilerplate")
-        .when(hints["bar"] & barred | line.rlike(_MENU), "navigation")
-        .when(hints["mark"] & (F.regexp_count(line, F.lit(_MARKS)) * 7 > n) | ~line.rlike(_FOUR_WORDS) & ~line.rlike(_ENDS), "punctuation")
-        .when(_repetitive(line), "repetition")
-    )
+
+    def rule(w: Column) -> Column:
+        n = F.size(w)
+        barred = _let(F.regexp_count(line, F.lit(_BAR)), lambda bars: (bars >= 2) & (bars * 3 >= n))
+        return (
+            F.when(hints["notice"] & line.rlike(_BOILERPLATE), "boilerplate")
+            .when(hints["bar"] & barred | line.rlike(_MENU), "navigation")
+            .when(hints["mark"] & (F.regexp_count(line, F.lit(_MARKS)) * 7 > n) | (n < 4) & ~line.rlike(_ENDS), "punctuation")
+            .when((n >= 6) & (F.size(F.array_distinct(w)) * 4 < n), "repetition")
+        )
+
+    return _let(_words(line), rule)
+
+
+def _blanked(text: Column) -> Column:
+    """Tabs and carriage returns as blanks. Most texts have none and aren't copied."""
+    return F.when(_any_in(text, ["\t", "\r"]), F.translate(text, "\t\r", "  ")).otherwise(text)
 
 
 def _cleaned(text: Column) -> Column:
     """Non-blank lines, and the different ones of them with the rule that each breaks, if any."""
-    lines = F.filter(F.transform(F.split(F.translate(text, "\t\r", "  "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_blanked(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     marked = lambda s: F.transform(F.array_distinct(s["l"]), lambda x: F.struct(x.alias("line"), _line_rule(x, s["h"]).alias("rule")))
     return _let(F.struct(lines.alias("l"), _hints(text).alias("h")), lambda s: F.struct(s["l"].alias("l"), marked(s).alias("m")))
 
