@@ -59,11 +59,11 @@ def archive_listing(t: Tables) -> DataFrame:
     return files.list_archives(t.spark, _zips(t)).select("filename", "station_code", "valid")
 
 
-@query("SELECT r_regionkey AS key, r_name AS name, CAST(NULL AS DOUBLE) AS balance FROM region UNION ALL SELECT n_nationkey, NULL, avg(c_acctbal) FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+@query("SELECT r_regionkey AS key, r_name AS name, CAST(NULL AS DOUBLE) AS balance FROM region UNION ALL SELECT n_nationkey, NULL, round(avg(c_acctbal) + 1e-7, 4) FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def evolving_append(t: Tables) -> DataFrame:
     folder = _folder(t)
     files.append_evolving(t.region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), folder)
-    files.append_evolving(t.customer.groupBy(F.col("c_nationkey").alias("key")).agg(F.avg("c_acctbal").alias("balance")), folder)
+    files.append_evolving(t.customer.groupBy(F.col("c_nationkey").alias("key")).agg(F.round(F.avg("c_acctbal") + 1e-7, 4).alias("balance")), folder)
     return files.read_evolving(t.spark, folder)
 
 
@@ -137,7 +137,7 @@ def stream_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "value")
 
 
-@query("SELECT count(*) AS orders, sum(o_custkey) AS keys FROM orders")
+@query("SELECT count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders")
 def run_summary(t: Tables) -> DataFrame:
     path = _folder(t)
     row = t.orders.agg(F.count("*").alias("orders"), F.sum("o_custkey").alias("keys")).first()

@@ -94,6 +94,8 @@ def write_zipped_tables(df: DataFrame, folder: str, by: str, member: str, sep: s
     columns = [c for c in df.columns if c != by]
 
     def write(frame: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
+
         system, root = open_folder(folder)
         system.create_dir(root, recursive=True)
         text = io.StringIO()
@@ -104,9 +106,10 @@ def write_zipped_tables(df: DataFrame, folder: str, by: str, member: str, sep: s
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr(member, text.getvalue().encode("iso-8859-1"))
         value = frame[by][0].as_py()
-        with system.open_output_stream(f"{root}/.{value}.{os.getpid()}") as f:
+        name = f"{root}/.{value}.{TaskContext.get().taskAttemptId()}"
+        with system.open_output_stream(name) as f:
             f.write(packed.getvalue())
-        system.move(f"{root}/.{value}.{os.getpid()}", f"{root}/{value}_data.zip")
+        system.move(name, f"{root}/{value}_data.zip")
         return pa.table({"done": pa.array([1], pa.int32())})
 
     df.groupBy(by).applyInArrow(write, "done int").count()
