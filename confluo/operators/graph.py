@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from confluo.operators.components import connected_components
-from confluo.session import cut
+from confluo.session import cut, free_name
 
 #: A closure is refused beyond this many rounds; each round doubles the hops that it covers.
 MOST_ROUNDS = 40
@@ -35,9 +35,14 @@ def systems(trenches: DataFrame) -> DataFrame:
 
 
 def number_systems(trenches: DataFrame) -> DataFrame:
-    """``system_id`` replaced by its place, from 0, in the order of the systems' least nodes. There are few systems, so one window ranks them."""
-    few = trenches.select("system_id").distinct().withColumn("__n", F.row_number().over(Window.orderBy("system_id")) - 1)
-    return trenches.join(few, "system_id", "left").withColumn("system_id", F.col("__n")).drop("__n")
+    """``system_id`` replaced by its place, from 0, in the order of the systems' least nodes. The systems are sorted in ranges, which are counted, so no task ranks them all."""
+    rank = free_name(trenches, "__confluo_rank")
+    each = cut(trenches.select("system_id").distinct().repartitionByRange("system_id").withColumn("__p", F.spark_partition_id()))
+    before = each.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__c", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c"))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy("system_id")) - 1
+    ranked = each.withColumn("__k", within).join(F.broadcast(before), "__p").select(F.col("system_id").alias("__s"), (F.col("__k") + F.col("__c")).alias(rank))
+    joined = trenches.join(ranked, F.col("system_id").eqNullSafe(F.col("__s")), "left")
+    return joined.select(*[F.col(rank).alias(c) if c == "system_id" else trenches[c] for c in trenches.columns])
 
 
 def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -79,9 +84,12 @@ def upstream_pairs(trenches: DataFrame, *, include_siblings: bool = True, max_ho
 
     A trench is upstream if its upper node reaches the target's lower node. That takes in trenches that only join at the target's
     lower end, and what is above them; without ``include_siblings`` it must reach the target's upper node. The distance is that of the
-    lower ends from the estuary. ``targets`` (``trench_id``) limits the work before the pairs are built.
+    lower ends from the estuary. ``targets`` (``trench_id``) limits the pairs, and, of trenches with a ``system_id``, the closure to the targets' systems.
     """
     system = ["system_id"] if "system_id" in trenches.columns else []
+    if targets is not None and system:
+        asked = trenches.join(targets.select("trench_id").distinct(), "trench_id", "left_semi").select(F.col("system_id").alias("__s")).distinct()
+        trenches = cut(trenches.join(asked, F.col("system_id").eqNullSafe(F.col("__s")), "left_semi"))
     t = trenches.select("trench_id", "upstream_node", "downstream_node", *system, "estuary_distance")
     wanted = t if targets is None else t.join(targets.select("trench_id").distinct(), "trench_id", "left_semi")
     low = "downstream_node" if include_siblings else "upstream_node"
@@ -116,6 +124,22 @@ def node_types(trenches: DataFrame) -> DataFrame:
     return n.withColumn("kind", F.when(F.col("n_in") == 0, "source").when(F.col("n_out") == 0, "estuary").when(F.col("n_in") > 1, "confluence").otherwise("link"))
 
 
+def point_types(trenches: DataFrame, border: DataFrame) -> DataFrame:
+    """``node`` and its ``type``: ``border`` (an end that is in ``border``, a table of nodes), ``source``, ``estuary`` (any other end), ``network`` (one in, one out) or ``confluence``."""
+    n = node_types(trenches).join(border.select("node").distinct().withColumn("__b", F.lit(True)), "node", "left")
+    kind = F.when(F.col("__b") & (F.col("n_out") == 0), "border").when(F.col("n_in") == 0, "source").when(F.col("n_out") == 0, "estuary").when((F.col("n_in") == 1) & (F.col("n_out") == 1), "network").otherwise("confluence")
+    return n.select("node", kind.alias("type"))
+
+
+def edge_reachability(trenches: DataFrame) -> DataFrame:
+    """``edge``, ``descendant`` and ``distance`` of each trench and those below it, itself at 0: how much nearer to the estuary the descendant's lower end is."""
+    t = trenches.select("trench_id", "upstream_node", "estuary_distance")
+    a = t.select(F.col("trench_id").alias("edge"), F.col("upstream_node").alias("src"), F.col("estuary_distance").alias("__a"))
+    b = t.select(F.col("trench_id").alias("descendant"), F.col("upstream_node").alias("dst"), F.col("estuary_distance").alias("__b"))
+    below = a.join(closure(edges_of(trenches)).select("src", "dst"), "src").join(b, "dst").where("edge <> descendant").select("edge", "descendant", (F.col("__a") - F.col("__b")).alias("distance"))
+    return below.unionByName(a.select("edge", F.col("edge").alias("descendant"), F.lit(0.0).alias("distance")))
+
+
 def reachable_sets(edges: DataFrame) -> DataFrame:
     """``node`` and the sorted list of nodes that it reaches."""
     return closure(edges).groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("reaches"))

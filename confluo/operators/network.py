@@ -25,14 +25,15 @@ def upstream_by_bucket(targets: DataFrame, pairs: DataFrame, cover: DataFrame, c
     there are ``lc_b_tot``, ``lc_b_n`` (trenches) and, for each class column, ``lc_b_c_cnt`` and ``lc_b_c_shr``. Without cover, counts
     are 0 and shares null.
     """
+    # One row a source and year here, and one a pair below, so a count of rows is one of trenches.
     yearly = cover.groupBy(F.col("trench_id").alias("source"), "year").agg(*[F.sum(c).alias(c) for c in (total, *classes)])
     keys = targets.select(F.col("trench_id").alias("target"), "year").distinct()
-    near = pairs.select("target", "source", distance_bucket("distance", buckets).alias("__b"))
+    near = pairs.groupBy("target", "source").agg(F.min("distance").alias("distance")).select("target", "source", distance_bucket("distance", buckets).alias("__b"))
     joined = near.join(keys, "target").join(yearly, ["source", "year"])
     each = []
     for name, _ in buckets:
         here = F.col("__b") == name
-        each += [F.sum(F.when(here, F.col(total))).alias(f"lc_{name}_tot"), F.countDistinct(F.when(here, F.col("source"))).alias(f"lc_{name}_n")]
+        each += [F.sum(F.when(here, F.col(total))).alias(f"lc_{name}_tot"), F.count(F.when(here, F.col("source"))).alias(f"lc_{name}_n")]
         each += [F.sum(F.when(here, F.col(c))).alias(f"lc_{name}_{c}_cnt") for c in classes]
     wide = keys.join(joined.groupBy("target", "year").agg(*each), ["target", "year"], "left").fillna(0)
     shares = [ratio(f"lc_{name}_{c}_cnt", f"lc_{name}_tot").alias(f"lc_{name}_{c}_shr") for name, _ in buckets for c in classes]
@@ -40,10 +41,13 @@ def upstream_by_bucket(targets: DataFrame, pairs: DataFrame, cover: DataFrame, c
 
 
 def kernel_sums(pairs: DataFrame, seeds: DataFrame, cover: DataFrame, columns: Sequence[str], *, bandwidth: float, kernel: str, unit: str = "adm2_id") -> DataFrame:
-    """Sums of cover by weight over the trenches upstream of a unit's seeds (``trench_id``, unit), at their least distance from any of them."""
+    """Sums of cover by weight over the trenches upstream of a unit's seeds (``trench_id``, unit), at their least distance from any of them.
+
+    ``cover`` has a row a ``trench_id`` and ``year``, so that rows count trenches.
+    """
     nearest = pairs.join(seeds.select(F.col("trench_id").alias("target"), unit).distinct(), "target").groupBy(unit, "source").agg(F.min("distance").alias("distance"))
     weighted = nearest.withColumn("__w", kernel_weight("distance", bandwidth, kernel)).join(cover.withColumnRenamed("trench_id", "source"), "source")
-    return weighted.groupBy(unit, "year").agg(*[F.sum(F.col("__w") * F.col(c)).alias(c) for c in columns], F.countDistinct("source").alias("reachable_trench_count"), F.sum("__w").alias("total_weight"))
+    return weighted.groupBy(unit, "year").agg(*[F.sum(F.col("__w") * F.col(c)).alias(c) for c in columns], F.count("*").alias("reachable_trench_count"), F.sum("__w").alias("total_weight"))
 
 
 def match_stations(pairs: DataFrame, quality: DataFrame, flow: DataFrame, radius: float) -> DataFrame:

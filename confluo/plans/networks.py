@@ -97,6 +97,66 @@ def reachable_node_sets(t: Tables) -> DataFrame:
     return graph.reachable_sets(graph.edges_of(tree(t)))
 
 
+def _network(t: Tables) -> graph.Network:
+    return graph.Network(rivers(t))
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT source AS trench_id, distance AS upstream_distance, system_id FROM pairs JOIN d ON d.trench_id = source WHERE target = 9")
+def upstream_of_one_trench(t: Tables) -> DataFrame:
+    return _network(t).get_upstream_trenches(9)
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT trench_id FROM d WHERE system_id = 2")
+def trenches_of_a_system(t: Tables) -> DataFrame:
+    return _network(t).get_system_trench_ids(2)
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT DISTINCT unnest([t.upstream_node, t.downstream_node]) AS node FROM t JOIN d USING (trench_id) WHERE system_id = 2")
+def nodes_of_a_system(t: Tables) -> DataFrame:
+    return _network(t).get_system_node_ids(2)
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT trench_id, dense_rank() OVER (ORDER BY system_id) - 1 AS system_id FROM d")
+def systems_numbered(t: Tables) -> DataFrame:
+    return _network(t).compute_subsystems().trenches.select("trench_id", "system_id")
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT system_id, count(*) AS n, count(DISTINCT trench_id % 7) AS distinct, min(trench_id % 7) AS least, max(trench_id % 7) AS most FROM d GROUP BY 1 HAVING min(trench_id % 7) <> 0 OR max(trench_id % 7) + 1 <> count(*) OR count(DISTINCT trench_id % 7) <> count(*)")
+def index_faults(t: Tables) -> DataFrame:
+    """Systems whose indexes, here made wrong, aren't 0 to n-1."""
+    return graph.check_index(rivers(t).withColumn("trench_index", F.col("trench_id") % 7))
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT trench_id, system_id, estuary_distance FROM d")
+def arranged_by_systems(t: Tables) -> DataFrame:
+    return _network(t).arrange_by_systems().select("trench_id", "system_id", "estuary_distance")
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT trench_id, trench_id % 2 = 0 AS within_brazil FROM t")
+def areas_annotated(t: Tables) -> DataFrame:
+    areas = tree(t).select("trench_id")
+    return graph.Network(tree(t), areas).annotate_areas(inside=areas.where("trench_id % 2 = 0")).areas
+
+
+@query(f"""
+WITH RECURSIVE {_TREE} SELECT a.trench_id AS edge, b.trench_id AS descendant, da.estuary_distance - db.estuary_distance AS distance FROM t a JOIN c ON c.src = a.upstream_node JOIN t b ON b.upstream_node = c.dst
+JOIN d da ON da.trench_id = a.trench_id JOIN d db ON db.trench_id = b.trench_id UNION ALL SELECT trench_id, trench_id, 0.0 FROM t
+""")
+def edge_reachability(t: Tables) -> DataFrame:
+    """Each edge with those downstream of it and itself, and how far down they are."""
+    return graph.edge_reachability(graph.accumulated_distance(tree(t)))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT p_partkey AS s, p_partkey // 4 AS t FROM part WHERE p_partkey >= 4), n AS (SELECT s AS node FROM e UNION SELECT t FROM e),
+x AS (SELECT node, (SELECT count(*) FROM e WHERE t = node) AS n_in, (SELECT count(*) FROM e WHERE s = node) AS n_out, node % 11 = 0 AS at_border FROM n)
+SELECT node, CASE WHEN at_border AND n_out = 0 THEN 'border' WHEN n_in = 0 THEN 'source' WHEN n_out = 0 THEN 'estuary' WHEN n_in = 1 AND n_out = 1 THEN 'network' ELSE 'confluence' END AS type FROM x
+""")
+def point_types(t: Tables) -> DataFrame:
+    """Sources, ends at the sea or a border, confluences and points within the network."""
+    return graph.point_types(tree(t), t.part.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("node")).union(t.spark.range(1)))
+
+
 _COVER = """
 cover AS (SELECT l_partkey AS trench_id, CAST(year(l_shipdate) AS INT) AS year, sum(l_quantity) AS total, coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS c_a, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS c_r FROM lineitem GROUP BY ALL)
 """
