@@ -49,7 +49,7 @@ def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``src``, ``dst`` and ``hops`` (the fewest) of every pair with a path from ``src`` to ``dst`` of one hop or more.
 
     Without a limit the paths double in length each round, so a chain of n nodes takes log2(n) rounds. With ``max_hops``
-    they grow by a hop a round, and longer ones are left out. Cycles end when no pair gets closer.
+    they grow by a hop a round, and longer ones are left out. Cycles end when no pair is new.
     """
     e = edges.select("src", "dst").dropna().where("src <> dst").distinct().withColumn("hops", F.lit(1).cast("long"))
     if max_hops is not None:
@@ -61,14 +61,20 @@ def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
                 break
             found = cut(found.unionByName(frontier))
         return found
-    paths, mark = cut(e), None
+    # Of a fewest-hops path of more than `most` hops, the first `most` are a pair with that many hops, so only such pairs go on,
+    # no pair gets closer later, and each round writes its new pairs alone.
+    rounds, most = [cut(e)], 1
     for _ in range(MOST_ROUNDS):
-        now = paths.agg(F.count("*"), F.sum("hops")).first()
-        if now == mark:
-            return paths
-        mark = now
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", (F.col("a.hops") + F.col("b.hops")).alias("hops")).where("src <> dst")
-        paths = cut(paths.unionByName(longer).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+        # The tables of the rounds are used under new names, as a union of checkpoints can't be joined to one of them.
+        onward = reduce(DataFrame.unionByName, [r.select(F.col("src").alias("via"), F.col("dst").alias("end"), F.col("hops").alias("more")) for r in rounds])
+        known = reduce(DataFrame.unionByName, [r.select(F.col("src").alias("a"), F.col("dst").alias("b")) for r in rounds])
+        longest = rounds[-1].where(F.col("hops") == most).select("src", F.col("dst").alias("via"))
+        longer = longest.join(onward, "via").where("src <> end").groupBy("src", F.col("end").alias("dst")).agg((F.min("more") + most).alias("hops"))
+        new = cut(longer.join(known, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left_anti"))
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, [r.select(*[F.col(c).alias(c) for c in ("src", "dst", "hops")]) for r in rounds])
+        rounds.append(new)
+        most *= 2
     raise ValueError(f"the closure didn't end after {MOST_ROUNDS} rounds")
 
 

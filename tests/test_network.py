@@ -1,5 +1,7 @@
 """Networks on fixtures that can be checked by hand."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -25,6 +27,26 @@ def test_chain_of_eight(spark):
     assert len(limited) == 25 and max(limited.values()) == 5
 
 
+@pytest.mark.parametrize("seed, edges", [(1, 60), (2, 45), (3, 120)])
+def test_closure_equals_a_walk_from_each_node(spark, seed, edges):
+    """Random digraphs with cycles, loops, repeated edges and a tail of 11 hops, against breadth-first walks."""
+    draw = random.Random(seed)
+    given_edges = [(draw.randrange(40), draw.randrange(40)) for _ in range(edges)] + [(k, k + 1) for k in range(39, 50)]
+    given_edges += given_edges[:5]
+    below = {}
+    for a, b in given_edges:
+        below.setdefault(a, set()).add(b)
+    want = {}
+    for start in below:
+        seen, level, hops = {start}, {start}, 0
+        while level := {b for a in level for b in below.get(a, ())} - seen:
+            hops += 1
+            seen |= level
+            want |= {(start, b): hops for b in level}
+    got = graph.closure(spark.createDataFrame(given_edges, "src long, dst long")).collect()
+    assert len(got) == len(want) and {(r.src, r.dst): r.hops for r in got} == want
+
+
 def test_diamond_and_cycle(spark):
     diamond = spark.createDataFrame([(1, 2), (2, 4), (1, 3), (3, 4)], "src long, dst long")
     assert pairs_of(graph.closure(diamond)) == {(1, 2): 1, (1, 3): 1, (2, 4): 1, (3, 4): 1, (1, 4): 2}
