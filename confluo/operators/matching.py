@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from confluo.operators.reshape import first_by
 from confluo.session import cut
 
 
@@ -34,10 +34,46 @@ def _plus(c: Column):
     return lambda d: c + d
 
 
-def nearest_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, distance: Column, on: str) -> DataFrame:
-    """For each row of ``left`` the nearest of those of ``right`` with the same ``on``; of equally near ones the least id."""
-    pairs = left.join(right, on).select(F.col(left_id), F.col(right_id), distance.alias("distance")).where("distance is not null")
-    return first_by(pairs, [left_id], [F.col("distance"), F.col(right_id)])
+def nearest_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, left_value: str, right_value: str, on: str) -> DataFrame:
+    """For each ``left_id`` the ``right_id`` with the same ``on`` whose value is nearest, and their ``distance``; of equally near ones the least id.
+
+    Both sides are put in one order of ``on`` and value, in ranges, and each value looks at the next of ``right`` on either side; no pairs of a key are made. Only values
+    whose next two are at the same rounded distance, or whose next is infinitely far, are compared with all of their key.
+    """
+    value, there = F.col("__x"), lambda df, k, x: df.where(F.col(k).isNotNull() & F.col(x).isNotNull())
+    a = there(left, on, left_value).select(F.col(left_id).alias("__l"), F.col(on).alias("__on"), F.col(left_value).alias("__x"))
+    b = there(right, on, right_value).select(F.col(on).alias("__on"), F.col(right_value).alias("__x"), F.col(right_id).alias("__r"))
+    both = a.select("__on", "__x", F.lit(False).alias("__is")).unionByName(b.withColumn("__is", F.lit(True)), allowMissingColumns=True)
+    both = both.groupBy("__on", "__x").agg(F.min("__r").alias("__r"), F.bool_or("__is").alias("__is"))
+    placed = cut(both.repartitionByRange("__on", "__x").withColumn("__p", F.spark_partition_id()))
+    marked = placed
+    for side, by in (("low", value.asc()), ("high", value.desc())):
+        w = Window.partitionBy("__p", "__on").orderBy(by)
+        beyond = F.last(F.when(F.col("__is"), value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marked = marked.withColumn("__b", beyond).withColumn(f"__{side}", F.last(F.when(F.col("__is"), F.struct("__x", "__r", "__b")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # What the ranges before and after a range end with; a range with one value of a key has what is beyond it from those too.
+    ends = marked.groupBy("__p", "__on").agg(F.max(F.when(F.col("__is"), F.col("__low"))).alias("__low"), F.min(F.when(F.col("__is"), F.col("__high"))).alias("__high"))
+    for side, by in (("low", F.asc("__p")), ("high", F.desc("__p"))):
+        last = F.last(f"__{side}", ignorenulls=True).over(Window.partitionBy("__on").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+        whole = F.when(F.col(f"__{side}").isNotNull(), F.struct(F.col(f"__{side}.__x"), F.col(f"__{side}.__r"), F.coalesce(f"__{side}.__b", "__o.__x").alias("__b")))
+        ends = ends.withColumn("__o", last).withColumn(f"__{side}", whole).withColumn(f"__o{side}", last)
+    seen = marked.join(ends.select("__p", "__on", "__olow", "__ohigh"), ["__p", "__on"]).where(F.col("__x").isNotNull())
+    apart = lambda x: F.abs(value - x)
+    for side in ("low", "high"):
+        n = F.coalesce(f"__{side}", f"__o{side}")
+        further = F.coalesce(n["__b"], F.when(F.col(f"__{side}").isNotNull(), F.col(f"__o{side}.__x")))
+        near = F.struct(apart(n["__x"]).alias("distance"), n["__r"].alias("__r"), F.coalesce(apart(further) == apart(n["__x"]), F.lit(False)).alias("__even"))
+        seen = seen.withColumn(f"__n{side}", F.when(n.isNotNull(), near))
+    even = F.greatest(F.coalesce("__nlow.__even", F.lit(False)), F.coalesce("__nhigh.__even", F.lit(False)))
+    best = cut(seen.select("__on", "__x", F.least("__nlow", "__nhigh").alias("__n"), even.alias("__even")).where("__n is not null").select("__on", "__x", "__n.distance", "__n.__r", "__even"))
+    close = ~F.col("__even") & (F.col("distance") < float("inf"))
+    rest = best.where(~close).select("__on", F.col("__x").alias("__lx"))
+    if not rest.isEmpty():
+        all_ = rest.join(placed.where("__is").select("__on", "__x", "__r"), "__on").groupBy("__on", F.col("__lx").alias("__x")).agg(F.min(F.struct(F.abs(F.col("__lx") - value).alias("distance"), "__r")).alias("__n"))
+        best = best.where(close).drop("__even").unionByName(all_.select("__on", "__x", "__n.distance", "__n.__r"))
+    # Ids that left has more than once take the nearest of all.
+    found = a.join(best.select("__on", "__x", "distance", "__r"), ["__on", "__x"]).groupBy("__l").agg(F.min(F.struct("distance", "__r")).alias("__n"))
+    return found.select(F.col("__l").alias(left_id), F.col("__n.__r").alias(right_id), F.col("__n.distance").alias("distance"))
 
 
 def in_box(x: Column | str, y: Column | str, box: tuple[float | None, float | None, float | None, float | None]) -> Column:

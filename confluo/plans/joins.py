@@ -114,7 +114,7 @@ FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE k = 1
 """)
 def nearest_match_dedup(t: Tables) -> DataFrame:
     a, b = t.supplier.withColumnRenamed("s_nationkey", "nation"), t.customer.withColumnRenamed("c_nationkey", "nation")
-    return matching.nearest_join(a, b, left_id="s_suppkey", right_id="c_custkey", distance=F.abs(F.col("s_acctbal") - F.col("c_acctbal")), on="nation").withColumn("distance", F.round("distance", 6))
+    return matching.nearest_join(a, b, left_id="s_suppkey", right_id="c_custkey", left_value="s_acctbal", right_value="c_acctbal", on="nation").withColumn("distance", F.round("distance", 6))
 
 
 @query("""
