@@ -28,6 +28,9 @@ class StreamflowRules:
 
 DEFAULT_RULES = StreamflowRules()
 
+#: Months that a task makes into days. Those compress so well that Spark, which counts compressed bytes, would put too many of them in a task.
+MONTHS_A_TASK = 20_000
+
 
 def apply_rules(daily: DataFrame, rules: StreamflowRules = DEFAULT_RULES, tie: tuple[str, ...] = ()) -> DataFrame:
     """Flags for bad stations, constant runs and jumps; sentinels and runs that are too long become null.
@@ -60,12 +63,16 @@ def best_rows(daily: DataFrame, rules: StreamflowRules = DEFAULT_RULES, tie: tup
 
 
 def build_clean_streamflow_daily(monthly: DataFrame, rules: StreamflowRules = DEFAULT_RULES) -> DataFrame:
-    """Nine columns, one row a station and day, from rows of a month each with ``discharge_1`` to ``discharge_31``."""
+    """Nine columns, one row a station and day, from rows of a month each with ``discharge_1`` to ``discharge_31``.
+
+    The months are dealt out by station to as many tasks as they need; the days are made after that and aren't sent on.
+    """
     require_columns(monthly, ["station_code", "date"], "streamflow")
     for c in ("consistency_level", "streamflow_acquisition_method", "updated_at"):
         if c not in monthly.columns:
             monthly = monthly.withColumn(c, F.lit(None).cast("string"))
-    daily = month_to_daily(monthly).withColumnRenamed("value", "discharge").withColumn("updated_at", F.try_to_timestamp(F.col("updated_at").cast("string")))
+    tasks = max(monthly.sparkSession.sparkContext.defaultParallelism, -(-monthly.count() // MONTHS_A_TASK))
+    daily = month_to_daily(monthly.repartition(tasks, "station_code")).withColumnRenamed("value", "discharge").withColumn("updated_at", F.try_to_timestamp(F.col("updated_at").cast("string")))
     tie = ("consistency_level", "updated_at", "quality_flag", "discharge")
     best = best_rows(apply_rules(daily, rules, tie), rules, ("discharge",))
     return best.select("station_code", "date", "discharge", "quality_flag", "consistency_level", "streamflow_acquisition_method", "flag_constant_run_suspicious", "flag_jump_suspicious", "flag_bad_station")
