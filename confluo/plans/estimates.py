@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from confluo.operators import suite
 from confluo.operators.estimate import Fit, fe_iv, fe_ols, fit_subsamples, with_interactions
 from confluo.plans.registry import Tables, query
+from confluo.session import cut
 
 _PANEL = """
 x AS (SELECT c_nationkey AS unit, CAST(year(o_orderdate) AS INT) AS year, avg(o_totalprice) / 1000 AS y, avg(c_acctbal) / 1000 AS x1, CAST(count(*) AS DOUBLE) AS x2 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -16,8 +17,9 @@ k AS (SELECT * FROM x WHERE unit IN (SELECT unit FROM x GROUP BY 1 HAVING count(
 
 
 def balanced(t: Tables) -> DataFrame:
+    """The balanced panel. It is small and every model goes over it many times, so the orders are joined once and it is kept."""
     j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    x = j.groupBy(F.col("c_nationkey").alias("unit"), F.year("o_orderdate").alias("year")).agg((F.avg("o_totalprice") / 1000).alias("y"), (F.avg("c_acctbal") / 1000).alias("x1"), F.count("*").cast("double").alias("x2"))
+    x = cut(j.groupBy(F.col("c_nationkey").alias("unit"), F.year("o_orderdate").alias("year")).agg((F.avg("o_totalprice") / 1000).alias("y"), (F.avg("c_acctbal") / 1000).alias("x1"), F.count("*").cast("double").alias("x2")))
     whole = x.groupBy("unit").count().where(F.col("count") == F.lit(x.select("year").distinct().count())).select("unit")
     return x.join(whole, "unit")
 
