@@ -143,20 +143,36 @@ def in_polygon(x: Column | str, y: Column | str, ring: list[tuple[float, float]]
     return crossings % 2 == 1
 
 
+#: Places that share a cell, on average over the places, before the cells of a search for the nearest are made smaller.
+CROWD = 16
+
+
+def _uncrowded(points: DataFrame, step: float, widest: float) -> float:
+    """``step`` or the first quarter, sixteenth and so on of it with at most ``CROWD`` other places in the cell of the average place, as far as cells can be numbered."""
+    while widest / step < 2.0**50:
+        n = points.groupBy(F.floor(F.col("__rightx") / step), F.floor(F.col("__righty") / step)).agg(F.count("*").cast("double").alias("n"))
+        if (n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0) <= CROWD:
+            break
+        step /= 4
+    return step
+
+
 def nearest_point(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, x: str = "x", y: str = "y", step: float) -> DataFrame:
     """For each point of ``left`` the nearest of ``right``, as ``left_id``, ``right_id`` and ``distance``; of equally near ones the least id.
 
     Points meet in the cell that they are in and the eight around it. What is found within a cell's width is the nearest; the rest is searched again in cells
-    of twice the width, until all of ``right`` lies in nine cells. Points without coordinates have no result.
+    of twice the width, until all of ``right`` lies in nine cells. Points without coordinates have no result. ``step`` is the first width, or a fraction of it where
+    cells of it are so full that a place of ``right`` shares its cell with more than ``CROWD`` on average; places with several points count once.
     """
     keep = lambda df, i, side: df.select(F.col(i).alias(f"{side}_id"), F.col(x).cast("double").alias(f"__{side}x"), F.col(y).cast("double").alias(f"__{side}y")).dropna()
-    todo, points = cut(keep(left, left_id, "left").distinct()), cut(keep(right, right_id, "right"))
+    todo, points = cut(keep(left, left_id, "left").distinct()), cut(keep(right, right_id, "right").groupBy("__rightx", "__righty").agg(F.min("right_id").alias("right_id")))
     ends = points.agg(F.max("__rightx") - F.min("__rightx"), F.max("__righty") - F.min("__righty")).first()
     far = todo.agg(F.max(F.abs("__leftx")), F.max(F.abs("__lefty"))).first()
     reach = points.agg(F.max(F.abs("__rightx")), F.max(F.abs("__righty"))).first()
     if ends[0] is None or far[0] is None:
         return todo.join(points.select("right_id"), F.lit(False)).select("left_id", "right_id", F.lit(0.0).alias("distance"))
     widest = 2 * max(far[0] + reach[0], far[1] + reach[1], step)
+    step = _uncrowded(points, step, widest)
     found: list[DataFrame] = []
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     while True:
