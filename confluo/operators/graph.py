@@ -110,6 +110,20 @@ def upstream_pairs(trenches: DataFrame, *, include_siblings: bool = True, max_ho
     return pairs.unionByName(itself).groupBy("target", "source").agg(*[F.min(c).alias(c) for c in system], F.min("distance").alias("distance"))
 
 
+def same_reach(trenches: DataFrame) -> DataFrame:
+    """``trench_id`` and ``representative``: the least of the trenches that have the same trenches upstream, at the same distances, in :func:`upstream_pairs`.
+
+    Those end in one node at one distance from the estuary, and each counts among what is upstream of the others at 0, as it does of itself. A trench that ends where
+    it begins, lacks a node or a distance or has several rows represents itself.
+    """
+    ends = F.col("estuary_distance")
+    plain = (F.col("upstream_node") != F.col("downstream_node")) & ends.isNotNull() & ~F.isnan(ends) & (F.count("*").over(Window.partitionBy("trench_id")) == 1)
+    system = ["system_id"] if "system_id" in trenches.columns else []
+    alone = trenches.withColumn("__own", F.when(~F.coalesce(plain, F.lit(False)), F.col("trench_id")))
+    least = F.min("trench_id").over(Window.partitionBy("downstream_node", "estuary_distance", "__own", *system))
+    return alone.select("trench_id", F.coalesce("__own", least).alias("representative")).distinct()
+
+
 def index_trenches(trenches: DataFrame) -> DataFrame:
     """``trench_index`` from 0 in each system, by distance from the estuary downwards and then by id."""
     w = Window.partitionBy("system_id").orderBy(F.col("estuary_distance").desc_nulls_last(), "trench_id")

@@ -28,14 +28,16 @@ def upstream_by_bucket(targets: DataFrame, pairs: DataFrame, cover: DataFrame, c
     # One row a source and year here, and one a pair below, so a count of rows is one of trenches.
     yearly = cover.groupBy(F.col("trench_id").alias("source"), "year").agg(*[F.sum(c).alias(c) for c in (total, *classes)])
     keys = targets.select(F.col("trench_id").alias("target"), "year").distinct()
-    near = pairs.groupBy("target", "source").agg(F.min("distance").alias("distance")).select("target", "source", distance_bucket("distance", buckets).alias("__b"))
-    joined = near.join(keys, "target").join(yearly, ["source", "year"])
+    near = pairs.groupBy("target", "source").agg(F.min("distance").alias("distance")).select("target", "source", distance_bucket("distance", buckets).alias("__b")).where("__b is not null")
+    # Pairs meet the years at the source alone and are summed by bucket before they are spread over columns, so that few and narrow rows are sent.
+    joined = near.join(yearly.join(keys.select("year").distinct(), "year", "left_semi"), "source")
+    summed = joined.groupBy("target", "year", "__b").agg(F.count("source").alias("__n"), *[F.sum(c).alias(c) for c in (total, *classes)])
     each = []
     for name, _ in buckets:
         here = F.col("__b") == name
-        each += [F.sum(F.when(here, F.col(total))).alias(f"lc_{name}_tot"), F.count(F.when(here, F.col("source"))).alias(f"lc_{name}_n")]
+        each += [F.sum(F.when(here, F.col(total))).alias(f"lc_{name}_tot"), F.sum(F.when(here, F.col("__n"))).alias(f"lc_{name}_n")]
         each += [F.sum(F.when(here, F.col(c))).alias(f"lc_{name}_{c}_cnt") for c in classes]
-    wide = keys.join(joined.groupBy("target", "year").agg(*each), ["target", "year"], "left").fillna(0)
+    wide = keys.join(summed.groupBy("target", "year").agg(*each), ["target", "year"], "left").fillna(0)
     shares = [ratio(f"lc_{name}_{c}_cnt", f"lc_{name}_tot").alias(f"lc_{name}_{c}_shr") for name, _ in buckets for c in classes]
     return wide.select(F.col("target").alias("trench_id"), "year", *[c for c in wide.columns if c not in ("target", "year")], *shares)
 
