@@ -110,6 +110,50 @@ def upstream_pairs(trenches: DataFrame, *, include_siblings: bool = True, max_ho
     return pairs.unionByName(itself).groupBy("target", "source").agg(*[F.min(c).alias(c) for c in system], F.min("distance").alias("distance"))
 
 
+def pairs_within(trenches: DataFrame, radius: float, among: DataFrame | None = None, one_of: DataFrame | None = None) -> DataFrame:
+    """The ``target``, ``source`` and ``distance`` of :func:`upstream_pairs` that are less than ``radius`` apart.
+
+    Each trench walks down node by node as long as it is within the radius, so the closure isn't made. ``among`` (``trench_id``) has those that pairs are wanted of,
+    ``one_of`` those of which a pair has one at least. Where distances don't fall on the way down, or differ at a node, and where ways have over ``MOST_ROUNDS`` nodes, all pairs are made.
+    """
+    t = cut(trenches.select("trench_id", "upstream_node", "downstream_node", F.col("estuary_distance").cast("double").alias("at")))
+    chosen = lambda d, only, c: d if only is None else d.join(only.select(F.col("trench_id").alias(c)).distinct(), c, "left_semi")
+    flagged = t.withColumn("one", F.lit(True)) if one_of is None else t.join(one_of.select("trench_id", F.lit(True).alias("one")).distinct(), "trench_id", "left").fillna(False, ["one"])
+    flagged = cut(chosen(flagged, among, "trench_id"))
+    at_node = t.groupBy(F.col("downstream_node").alias("node")).agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    below = t.select(F.col("upstream_node").alias("node"), F.col("at").alias("next_at"))
+    odd = [
+        t.where("trench_id is null or upstream_node is null or downstream_node is null or upstream_node = downstream_node or at is null or isnan(at) or abs(at) = double('infinity')"),
+        at_node.where("least <> most"), at_node.join(below, "node").where("next_at > least"),
+    ]
+    found: list[DataFrame] = []
+    if all(o.isEmpty() for o in odd):
+        steps = t.select(F.col("upstream_node").alias("node"), F.col("downstream_node").alias("next"), F.col("at").alias("next_at")).distinct()
+        found.append(flagged.select(F.col("trench_id").alias("source"), F.col("upstream_node").alias("top"), F.col("downstream_node").alias("node"), F.col("at").alias("start"), F.col("at"), "one").distinct())
+        for _ in range(MOST_ROUNDS):
+            onward = found[-1].join(steps, "node").where((F.col("start") - F.col("next_at") < radius) & (F.col("next") != F.col("top")))
+            onward = onward.select("source", "top", F.col("next").alias("node"), "start", F.col("next_at").alias("at"), "one").distinct()
+            known = reduce(DataFrame.unionByName, [f.select(F.col("source").alias("s"), F.col("top").alias("u"), F.col("node").alias("n"), F.col("start").alias("d")) for f in found])
+            new = cut(onward.join(known, (F.col("source") == F.col("s")) & (F.col("top") == F.col("u")) & (F.col("node") == F.col("n")) & (F.col("start") == F.col("d")), "left_anti"))
+            if new.isEmpty():
+                break
+            found.append(new)
+        else:
+            found = []
+    if not found:
+        whole = chosen(chosen(upstream_pairs(trenches).where(F.abs("distance") < radius), among, "target"), among, "source").select("target", "source", "distance")
+        if one_of is None:
+            return whole
+        ones = one_of.select(F.col("trench_id").alias("__t")).distinct()
+        kept = whole.join(ones, F.col("target") == F.col("__t"), "left_semi").unionByName(whole.join(ones, F.col("source") == F.col("__t"), "left_semi"))
+        return kept.distinct()
+    reached = reduce(DataFrame.unionByName, [f.select(*[F.col(c).alias(c) for c in ("source", "node", "start", "at", "one")]) for f in found])
+    ends = flagged.select(F.col("trench_id").alias("target"), F.col("downstream_node").alias("node"), F.col("one").alias("__one"))
+    pairs = reached.join(ends, "node").where((F.col("one") | F.col("__one")) & (F.col("target") != F.col("source"))).select("target", "source", (F.col("start") - F.col("at")).alias("distance"))
+    itself = flagged.where("one").select(F.col("trench_id").alias("target"), F.col("trench_id").alias("source"), F.lit(0.0).alias("distance")).where(F.lit(0.0) < radius)
+    return pairs.where(F.abs("distance") < radius).unionByName(itself).groupBy("target", "source").agg(F.min("distance").alias("distance"))
+
+
 def same_reach(trenches: DataFrame) -> DataFrame:
     """``trench_id`` and ``representative``: the least of the trenches that have the same trenches upstream, at the same distances, in :func:`upstream_pairs`.
 

@@ -72,13 +72,15 @@ FLOWS = ("streamflow_discharge_day", "streamflow_discharge_mean_7d", "streamflow
 def aggregate_matches(keys: DataFrame, matches: DataFrame, features: DataFrame, flows: Sequence[str] = FLOWS) -> DataFrame:
     """Weighted flows of the stations matched to each water-quality station and date, with diagnostics of the match."""
     m = matches.join(features.withColumnRenamed("station_code", "streamflow_station_code"), "streamflow_station_code").join(keys.select("wq_station_code", "date").distinct(), ["wq_station_code", "date"])
-    # A station counts once in the total weight, however many rows it has that day.
-    m = m.withColumn("__k", F.row_number().over(Window.partitionBy("wq_station_code", "date", "streamflow_station_code").orderBy("streamflow_weight")))
-    return m.groupBy("wq_station_code", "date").agg(
-        *[weighted_mean(c, "streamflow_weight").alias(c) for c in flows],
-        F.countDistinct("streamflow_station_code").alias("streamflow_match_count"),
-        F.countDistinct(F.when(F.col(flows[0]).isNotNull(), F.col("streamflow_station_code"))).alias("streamflow_nonnull_day_count"),
-        F.sum(F.when(F.col("__k") == 1, F.col("streamflow_weight"))).alias("streamflow_total_weight"), F.min("streamflow_distance").alias("streamflow_nearest_distance"),
+    # A station counts once in the total weight, however many rows it has that day, so rows are summed by station and day first. That needs no other order of the rows.
+    there = lambda c: F.col(c).isNotNull()
+    w = F.col("streamflow_weight")
+    sums = [s for k, c in enumerate(flows) for s in (F.sum(F.col(c) * w).alias(f"__v{k}"), F.sum(F.when(there(c), w)).alias(f"__w{k}"))]
+    one = m.groupBy("wq_station_code", "date", "streamflow_station_code").agg(*sums, F.bool_or(there(flows[0])).alias("__there"), F.min(w).alias("__w"), F.min("streamflow_distance").alias("__d"))
+    means = [F.when(F.sum(f"__w{k}") > 0, F.try_divide(F.sum(f"__v{k}"), F.sum(f"__w{k}"))).alias(c) for k, c in enumerate(flows)]
+    return one.groupBy("wq_station_code", "date").agg(
+        *means, F.count("streamflow_station_code").alias("streamflow_match_count"), F.count_if(F.col("__there") & there("streamflow_station_code")).alias("streamflow_nonnull_day_count"),
+        F.sum("__w").alias("streamflow_total_weight"), F.min("__d").alias("streamflow_nearest_distance"),
     )
 
 
